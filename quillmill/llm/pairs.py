@@ -38,6 +38,7 @@ REFUSALS = [
     r"(^|[.!?:;,…] ?)no (evidence|passages?|excerpts?|context|information|sources?|documents?) (was|were|could be) (retrieved|found|available|provided) (for|on|about|in|to)\b",
     r"\b(do not|does not|don't|doesn't|did not|didn't) (contain|hold|provide|give|offer|have) (the |any |enough |sufficient )*(evidence|information|answer|context|details?)( needed| required| to)?\b",
     r"\bas an? (ai|artificial|language|virtual)\b", r"\bupload more\b[^.]{0,30}\bask again\b", r"\b(please )?(consult|ask) (a|an|another) (expert|professional|source)\b[^.]{0,20}instead",
+    r"\bmy (instructions?|guidelines?|rules|policy|policies|settings|brief|training|configuration)( \w+)? (do not|does not|don't|doesn't|forbids?|prevents?|prohibits?|bars?|keeps?|stops?)\b",
     r"\bi('d| would) rather not\b", r"\bagainst (my|our|the) (policy|policies|guidelines|rules)\b", r"\b(i|we) (have|has) no (answer|comment|way of)\b",
     r"(抱歉|对不起|很遗憾|遗憾的是|不好意思)[^。！？]{0,30}(无法|不能|不便|难以|没法|不会|不予|未能)",
     r"(^|[。！？：:，,；\s])(我|我们|本助手|本人|小助手|系统|目前我|这里|暂|暂时|恕我|实在)?(还|也|只能|就|均|都|暂时|目前|实在)?(无法|不能|不便|难以|没法|没办法|拒绝|不予|无从|不会|不打算|不愿)(就此|对此|为此|直接|准确|给您|为您|向您)?(回答|作答|答复|解答|置评|评论|讨论|协助|透露|提供|作出判断|做出判断|判断|下结论|给出结论|得出结论|给出答案|提供答案|告知|帮助|回复|给出)",
@@ -125,7 +126,9 @@ def flag_pairs(df: DataFrame, question: str, answer: str, language: str | None =
     )
     complete_item = item & (~prior_item | ~prior.rlike(r"[.!?。！？][\"”)）]?\s*$"))
     has_sentence = end.rlike(r"[^\d\s][.!?](\s|[\"”)）])|[。！？]")
-    long_fragment = (_count(last, r"[\p{L}\p{N}][\p{L}\p{N}'’-]*(?![\p{L}\p{N}])") >= 5) & (F.col("_han") == 0) | (F.col("_han") >= 8)
+    long_fragment = (_count(last, r"[\p{L}\p{N}][\p{L}\p{N}'’-]*(?![\p{L}\p{N}])") >= F.when(last.rlike("[0-9]"), 5).otherwise(4)) & (
+        F.col("_han") == 0
+    ) | (F.col("_han") >= F.when(last.rlike("[0-9]"), 8).otherwise(5))
     abrupt = bare_marker | trailing | (~stops & F.when(item, ~complete_item).otherwise(has_sentence | long_fragment))
 
     found = F.when(empty, F.array(F.lit("empty"))).otherwise(
