@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.tokens import count_tokens
+from quillmill.session import cut
 
 #: Key ranges per source. A range holds its share of a source, so more rows need more ranges.
 RANGES = 4096
@@ -42,6 +43,7 @@ def mix_sources(
         F.col(row_id).alias("_id"), F.col(source).alias("_s"), "_n", F.xxhash64(F.lit(seed), F.col(row_id), F.col(text) if text in documents.columns else F.lit("")).alias("_key")
     )
     sized = sized.filter("_n > 0").withColumn("_b", F.pmod(F.shiftrightunsigned("_key", 20), F.lit(ranges)).cast("int"))
+    sized = cut(sized)  # five narrow columns a row: texts are encoded once
     # one row per source and range: the only table the offsets need (sources x ranges rows)
     sums = sized.groupBy("_s", "_b").agg(F.sum("_n").alias("_t"))
     have = sums.groupBy("_s").agg(F.sum("_t").alias("_all"))

@@ -299,7 +299,7 @@ def text_quality(df: DataFrame, row_id: str, text: str = "text", piece: int = PI
     parts = large.select(F.col(row_id).alias("_row"), F.length("_t").cast("bigint").alias("_len"), F.explode(cuts).alias("c"))
     sizes = parts.select("_row", "_len").distinct()
     kind = df.select(row_id).schema[0].dataType
-    states = parts.select("_row", F.col("c.at").alias("_at"), F.col("c.p").alias("piece")).mapInPandas(_pieces, T.StructType().add("_row", kind).add("_at", "int").add("state", _STATE))
+    states = parts.select("_row", F.col("c.at").alias("_at"), F.col("c.p").alias("piece")).mapInPandas(_pieces, T.StructType().add("_row", kind).add("_at", T.IntegerType()).add("state", _STATE))
     first = states.groupBy("_row", F.floor(F.col("_at") / FAN).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("_at", "state"))).alias("x"))
     first = first.select("_row", "_g", _merged(F.col("x.state")).alias("state"))
     second = first.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_g", "state"))).alias("x"))
