@@ -305,3 +305,9 @@ def text_quality(df: DataFrame, row_id: str, text: str = "text", piece: int = PI
     second = first.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_g", "state"))).alias("x"))
     big = second.select("_row", _finished(F.col("x.state")).alias("s")).join(sizes, "_row").select(F.col("_row").alias(row_id), F.col("_len").alias("n_chars"), "s")
     return small.unionByName(big).select(row_id, "n_chars", "s.*")
+
+
+@F.pandas_udf(T.StringType())
+def text_kind(texts: pd.Series) -> pd.Series:
+    """Kind of a text at once, without pieces; null for null, empty and blank texts."""
+    return texts.map(lambda t: finish(summarize(t))["kind"] if t else None, na_action="ignore").astype(object)

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.glyphs import equal_looking, normalize_glyphs
+from quillmill.llm.languages import LANGUAGES, check_labels, count_trigrams, detect_languages, label_code
 from quillmill.llm.mixture import mix_sources, mixture_report
 from quillmill.llm.pairs import flag_pairs
-from quillmill.llm.quality import text_quality
 from quillmill.llm.tokens import encode_texts
-from quillmill.session import read_table
+from quillmill.llm.quality import text_kind, text_quality
+from quillmill.session import cut, read_table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,43 @@ def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.lit("page").alias("src"), *cols).unionByName(ocr.select(F.lit("ocr").alias("src"), *cols))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing and wrong labels (seg 0) and the stretches of mixed texts (seg from 1)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    pages = read_table(spark, sf_dir, "paper_document_pages").select("id", "paper_id", "text")
+    samples = read_table(spark, sf_dir, "sample_papers").select("paper_key", "paper_id", label_code(F.col("language")).alias("label_code"))
+    counts = cut(count_trigrams(docs, "text", "lang"))
+    # found rows hold no text, so what is kept between the steps is narrow
+    doc = cut(check_labels(docs, "doc_id", "text", "lang", counts))
+    page = detect_languages(pages, "text", counts)
+    page = cut(page.withColumn("kind", text_kind(F.when(F.size("found.segments") > 1, F.col("text")))).drop("text"))
+
+    wrong = F.col("label_code").isNull() | (F.col("label_code") != F.col("found.lang"))
+    one = doc.filter((F.size("found.segments") == 1) & ~F.col("found.ambiguous") & (F.col("found.confidence") >= 0.8) & (F.col("kind") == "prose") & wrong)
+    by_doc = one.select(F.lit("document").alias("src"), F.col("doc_id").cast("string").alias("row_key"), F.lit(0).alias("seg"), F.col("found.lang").alias("lang"))
+
+    paper = page.groupBy("paper_id").agg(*[F.sum(F.col("found.signs")[i]).alias(k) for i, k in enumerate(LANGUAGES)])
+    most = F.greatest(*LANGUAGES)
+    lang = F.coalesce(*[F.when((F.col(k) == most) & (most > 0), F.lit(k)) for k in LANGUAGES])
+    told = samples.distinct().join(paper.select("paper_id", lang.alias("lang")).filter("lang IS NOT NULL"), "paper_id")
+    by_sample = told.filter("label_code IS NULL OR label_code <> lang").select(F.lit("sample").alias("src"), F.col("paper_key").alias("row_key"), F.lit(0).alias("seg"), "lang")
+
+    def parts(df: DataFrame, src: str, key: str) -> DataFrame:
+        mixed = df.filter((F.size("found.segments") > 1) & (F.col("kind") == "prose"))
+        each = mixed.select(F.lit(src).alias("src"), F.col(key).cast("string").alias("row_key"), F.posexplode("found.segments").alias("p", "s"))
+        return each.select("src", "row_key", (F.col("p") + 1).alias("seg"), F.col("s.lang").alias("lang"))
+
+    every = by_doc.unionByName(by_sample).unionByName(parts(page, "page", "id")).unionByName(parts(doc, "document", "doc_id"))
+    return every.distinct()
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, confidence and ambiguity of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = detect_languages(docs, "text", cut(count_trigrams(docs, "text", "lang")))
+    return found.select("doc_id", "found.lang", F.round("found.confidence", 4).alias("confidence"), "found.ambiguous", F.size("found.segments").alias("segments"))
+
+
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = read_table(spark, sf_dir, "sample_questions").select("q_id", "question", "language", "expected_abstention")
     drafts = read_table(spark, sf_dir, "assistant_drafts").select(F.col("id").alias("draft_id"), "q_id", "content")
@@ -74,6 +112,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_texts, p7_found, p7_all_defects, p8_ids, p9_mixture, p9_shares, p10_found, p10_statistics)
+    f.__name__: f for f in (p2_found, p2_texts, p5_found, p5_languages, p7_found, p7_all_defects, p8_ids, p9_mixture, p9_shares, p10_found, p10_statistics)
 }
 ORACLE: dict[str, str] = {}
