@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmill.llm.glyphs import equal_looking, normalize_glyphs
 from quillmill.llm.languages import LANGUAGES, check_labels, count_trigrams, detect_languages, label_code
 from quillmill.llm.mixture import mix_sources, mixture_report
+from quillmill.llm.neighbours import mutual_pairs, similar_vectors, unit_vectors
 from quillmill.llm.pairs import flag_pairs
 from quillmill.llm.tokens import encode_texts
 from quillmill.llm.quality import text_kind, text_quality
@@ -69,6 +70,24 @@ def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "found.lang", F.round("found.confidence", 4).alias("confidence"), "found.ambiguous", F.size("found.segments").alias("segments"))
 
 
+DIMENSIONS = 64
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of at least 0.9 of which each is among the other's ten nearest."""
+    vectors = unit_vectors(read_table(spark, sf_dir, "paper_chunks"), "id", "embedding", DIMENSIONS)
+    # a list of ten cut at 0.9 holds the same pairs of 0.9 and more as the list of ten
+    lists = similar_vectors(vectors, k=10, min_similarity=0.9)
+    return mutual_pairs(lists).select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest of every chunk whose id is divisible by 50, among all chunks, from all shards."""
+    vectors = cut(unit_vectors(read_table(spark, sf_dir, "paper_chunks"), "id", "embedding", DIMENSIONS))
+    lists = similar_vectors(vectors, vectors.filter("_id % 50 = 0"), k=10, ef=160, probes=None)
+    return lists.select(F.col("a").alias("chunk_id"), F.col("b").alias("similar_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = read_table(spark, sf_dir, "sample_questions").select("q_id", "question", "language", "expected_abstention")
     drafts = read_table(spark, sf_dir, "assistant_drafts").select(F.col("id").alias("draft_id"), "q_id", "content")
@@ -112,6 +131,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_texts, p5_found, p5_languages, p7_found, p7_all_defects, p8_ids, p9_mixture, p9_shares, p10_found, p10_statistics)
+    f.__name__: f for f in (p2_found, p2_texts, p5_found, p5_languages, p6_found, p6_neighbours, p7_found, p7_all_defects, p8_ids, p9_mixture, p9_shares, p10_found, p10_statistics)
 }
 ORACLE: dict[str, str] = {}
