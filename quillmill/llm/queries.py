@@ -14,9 +14,25 @@ from quillmill.llm.neighbours import mutual_pairs, similar_vectors, unit_vectors
 from quillmill.llm.pairs import flag_pairs
 from quillmill.llm.tokens import encode_texts
 from quillmill.llm.quality import text_kind, text_quality
+from quillmill.llm.scans import repair_pages, scan_defects
 from quillmill.session import cut, read_table
 
 
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "papers").select(F.col("id").alias("paper_id"), "title")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of print and of misreading in pages and blocks."""
+    pages, blocks = read_table(spark, sf_dir, "paper_document_pages"), read_table(spark, sf_dir, "paper_document_blocks")
+    return scan_defects(pages, blocks, _titles(spark, sf_dir))
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as continuous paragraphs."""
+    return repair_pages(read_table(spark, sf_dir, "paper_document_pages"), _titles(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OCR rows that read like the page they name and differ from it in code points."""
     ocr = read_table(spark, sf_dir, "ocr_text_results").select("id", "page_id", "text")
@@ -131,6 +147,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_texts, p5_found, p5_languages, p6_found, p6_neighbours, p7_found, p7_all_defects, p8_ids, p9_mixture, p9_shares, p10_found, p10_statistics)
+    f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_texts, p5_found, p5_languages, p6_found, p6_neighbours, p7_found, p7_all_defects, p8_ids, p9_mixture, p9_shares, p10_found, p10_statistics)
 }
 ORACLE: dict[str, str] = {}
