@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmill.operators.multivalue import split_values
 from quillmill.operators.timestamps import estimate_zones, normalize_timestamps
 from quillmill.session import read_table
 
@@ -15,6 +16,18 @@ SUMMARY = "metadata_json.structured_summary"
 SITE_ZONES = ["UTC", "Europe/London", "Europe/Berlin", "America/New_York", "America/Los_Angeles", "Asia/Kolkata", "Asia/Shanghai", "Australia/Sydney"]
 
 
+def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every author of every asset, fields with one author included."""
+    assets = read_table(spark, sf_dir, "paper_assets").select(F.col("id").alias("asset_id"), F.col(f"{SUMMARY}.authors").alias("authors"))
+    return split_values(assets, "asset_id", "authors").withColumnRenamed("value", "author")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors of the assets whose field names two or more."""
+    several = Window.partitionBy("asset_id")
+    return p3_values(spark, sf_dir).withColumn("_n", F.count("*").over(several)).filter("_n > 1").drop("_n")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per value that names a real date or instant; copies count once."""
     assets = read_table(spark, sf_dir, "paper_assets").select("id", F.col(f"{SUMMARY}.published_at").alias("value"))
@@ -32,4 +45,4 @@ def p4_site_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimate_zones(web, "site", "publish_date", "fetched_at", SITE_ZONES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_site_zones": p4_site_zones}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_values": p3_values, "p4_found": p4_found, "p4_site_zones": p4_site_zones}
