@@ -1,7 +1,7 @@
 """All registered queries outside the training-text subpackage."""
 
-from quillmill.plans import prepared
+from quillmill.plans import prepared, reference
 
-FLAGSHIP = "p4_found"
-QUERIES = {**prepared.QUERIES}
-ORACLE: dict[str, str] = {}
+FLAGSHIP = "hybrid_retrieval"
+QUERIES = {**reference.QUERIES, **prepared.QUERIES}
+ORACLE: dict[str, str] = dict(reference.ORACLE)
