@@ -28,10 +28,10 @@ TERM_PATTERNS = (
 LATIN_TOKEN = rf"{_ON}[A-Za-z][A-Za-z0-9-]{{2,}}{_OFF}"
 # Words that point at a table's body.
 TABLE_FOCUS = (
-    "(?i)(研究组|对照组|实验组|干预前|干预后|治疗前|治疗后|组别|stimulation|sham|baseline|post[- ]?(?:treatment|intervention)|pre[- ]?(?:treatment|intervention)"
+    "(?iu)(研究组|对照组|实验组|干预前|干预后|治疗前|治疗后|组别|stimulation|sham|baseline|post[- ]?(?:treatment|intervention)|pre[- ]?(?:treatment|intervention)"
     "|theta|beta|smr|frequency|score|p-?value|频率|评分|显著性)"
 )
-TABLE_VALUE = "(?i)(?:[αβγθδμσχ]|SMR|P值|p-?value|频率|评分|均数|标准差|mean|sd|x±s|χ2|t检验)"
+TABLE_VALUE = "(?iu)(?:[αβγθδμσχ]|SMR|P值|p-?value|频率|评分|均数|标准差|mean|sd|x±s|χ2|t检验)"
 NUMBER = r"[-+]?[0-9]+(?:\.[0-9]+)?"
 # What Chinese wording of a question adds to its English form.
 QUESTION_RULES = (

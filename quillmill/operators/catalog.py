@@ -108,3 +108,34 @@ def stream_pieces(df: DataFrame, row_id: str, text: str, size: int = 24) -> Data
     t = F.col(text)
     starts = F.when(F.length(t) > 0, F.sequence(F.lit(1), F.length(t), F.lit(size)))
     return df.select(row_id, F.posexplode(F.transform(starts, lambda i: F.substring(t, i, F.lit(size)))).alias("seq", "piece"))
+
+
+def partial_update(current: DataFrame, updates: DataFrame, row_id: str, columns: list[str], required: tuple[str, ...] = ("title",)) -> DataFrame:
+    """Rows with the given columns replaced where an update names them.
+
+    `updates` has row_id and MAP<STRING,STRING> fields. Names outside `columns` are ignored; blanks clear a column, but a required one
+    keeps its value. Rows without update stay; of several updates of a row the one with the most names counts.
+    """
+    one = updates.groupBy(row_id).agg(F.max_by("fields", F.size("fields")).alias("_f"))
+    j = current.join(one, row_id, "left")
+    for c in columns:
+        new = F.nullif(strip(F.try_element_at("_f", F.lit(c))), F.lit(""))
+        named = F.coalesce(F.array_contains(F.map_keys("_f"), c), F.lit(False))
+        j = j.withColumn(c, F.when(named & (new.isNotNull() | F.lit(c not in required)), new).otherwise(F.col(c)))
+    return j.drop("_f")
+
+
+def question_items(items: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
+    """(clean items, duplicates): trimmed id and question, incomplete items left out; ids an owner uses more than once.
+
+    `items` has owner, position, id, question.
+    """
+    clean = items.select(owner, "position", strip(F.col("id")).alias("id"), strip(F.col("question")).alias("question")).filter("length(id) > 0 AND length(question) > 0")
+    twice = clean.groupBy(owner, "id").agg(F.count("*").alias("n")).filter("n > 1")
+    return clean, twice
+
+
+def answers_in_order(items: DataFrame, answers: DataFrame, owner: str) -> DataFrame:
+    """Every item with its answer, "" where there is none; `answers` has owner, id, answer."""
+    a = answers.groupBy(owner, "id").agg(F.max("answer").alias("answer"))
+    return items.join(a, [owner, "id"], "left").withColumn("answer", F.coalesce("answer", F.lit("")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import context_header, han_count, latin_count, looks_like_table_body, squeeze, strip, text_or_empty, tokens
+from quillmill.session import cut
 
 ALONE = ("table_like", "table_caption", "figure_caption")
 
@@ -130,6 +131,7 @@ def chunk_papers(blocks: DataFrame, titles: DataFrame | None = None, size: int =
     breaks = (F.col("kind") != "plain") | (F.lag("kind", 1, "x").over(w) != "plain") | (F.lag("section_id", 1, "").over(w) != F.col("section_id"))
     b = b.withColumn("run", F.sum(breaks.cast("int")).over(w))
 
+    b = cut(b)  # ordered once; five branches read it
     # plain runs: only lengths are collected
     lengths = b.filter("kind = 'plain'").groupBy("paper_id", "run").agg(F.array_sort(F.collect_list(F.struct("idx", F.length("text").alias("n")))).alias("x"), F.max("child").alias("child"))
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("key"), F.array().cast("array<struct<idx:int,key:int>>").alias("out"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import clip
+from quillmill.functions.text import clip, json_object
 
 MOST, TOP_SUPPORT, TOTAL_SUPPORT, VERIFIED = 4, 0.55, 0.9, 0.5
 
@@ -74,3 +74,16 @@ def decide(verified: DataFrame) -> DataFrame:
     """Adds answer_mode: knowledge_base where evidence suffices and the answer is supported well enough."""
     ok = F.col("sufficient") & F.col("supported") & (F.col("verifier_score") >= VERIFIED)
     return verified.withColumn("answer_mode", F.when(ok, "knowledge_base").otherwise("kb_insufficient_evidence"))
+
+
+# The fields of a structured summary.
+SUMMARY_FIELDS = ("abstract_cn", "research_question", "method", "findings", "limitations", "authors", "doi", "source_url", "published_at")
+
+
+def parse_summaries(df: DataFrame, text: str) -> DataFrame:
+    """Adds `summary`: the fields of the JSON object in a model's answer, blank where missing, key points without blanks; null without object."""
+    schema = ", ".join(f"{x} string" for x in SUMMARY_FIELDS) + ", key_points array<string>"
+    o = F.from_json(json_object(F.col(text)), schema)
+    points = F.filter(F.transform(F.coalesce(o["key_points"], F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: F.length(x) > 0)
+    parts = [F.trim(F.coalesce(o[x], F.lit(""))).alias(x) for x in SUMMARY_FIELDS]
+    return df.withColumn("summary", F.when(o.isNotNull(), F.struct(*parts, points.alias("key_points"))))

@@ -273,8 +273,8 @@ def parent_child_link(s: SparkSession, d: str) -> DataFrame:
     return catalog.children(c).join(p, F.col("parent_chunk_id") == F.col("parent_id"), "left").select("id", "parent_id", "parent_chars")
 
 
-FOCUS_SQL = X.TABLE_FOCUS.replace("(?i)", "").replace("'", "''")
-VALUE_SQL = X.TABLE_VALUE.replace("(?i)", "").replace("'", "''")
+FOCUS_SQL = X.TABLE_FOCUS.replace("(?iu)", "").replace("'", "''")
+VALUE_SQL = X.TABLE_VALUE.replace("(?iu)", "").replace("'", "''")
 
 
 @query(
@@ -450,7 +450,7 @@ def hit_at_k_mrr(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     LABELLED + ", t AS (SELECT q_id, count(*) FILTER (WHERE ql = el AND q_id <> chunk_id) AS gold FROM p GROUP BY 1), dc AS (SELECT q_id, sum(1.0::DOUBLE / log2(rank + 1)) AS dcg FROM r WHERE ql = el AND q_id <> chunk_id GROUP BY 1) "
-    "SELECT t.q_id, round(CASE WHEN gold > 0 THEN coalesce(dcg, 0) / list_sum(list_transform(range(1, least(gold, 10) + 1), i -> 1.0::DOUBLE / log2(i + 1))) ELSE 0 END, 4) AS ndcg FROM t LEFT JOIN dc ON dc.q_id = t.q_id"
+    "SELECT t.q_id, round(CASE WHEN gold > 0 THEN coalesce(dcg, 0) / list_sum(list_transform(range(1, least(gold, 10) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))) ELSE 0 END, 4) AS ndcg FROM t LEFT JOIN dc ON dc.q_id = t.q_id"
 )
 def ndcg_at_10(s: SparkSession, d: str) -> DataFrame:
     ranked, hits = _labelled(s, d)
