@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Characters of a piece.
 PIECE = 32_768
+#: Words among which repeated ones are counted.
+STRETCH = 100
 #: Pieces merged in the first level.
 FAN = 64
 # Frequent words of English, German, French and Spanish, and frequent signs of Chinese.
@@ -42,6 +44,7 @@ _GLOSS = re.compile(r"\s*\S[^:：.。!?\t|]{0,40}[:：]\s*\S[^.。!?！？]{0,60
 _HEX = re.compile(r"[0-9a-fA-F]{2}$")
 _ASCII_WORD = re.compile(r"[A-Za-z]+(?:['-][A-Za-z]+)*")
 _NOT_HAN = re.compile(r"[^㐀-䶿一-鿿]+")
+_RULE = re.compile(r"[|+:=\s-]*\|[|+:=\s-]*")
 _DIGIT = re.compile(r"\d")
 _SEMI, _COMMA, _GAP = re.compile(r";(?=\S)"), re.compile(r",(?=\S)"), re.compile(r"(?<=\S)[ \u3000]{2,}(?=\S)")
 _LONG = re.compile(r"[A-Za-z0-9+/=_-]{40,}")
@@ -54,7 +57,7 @@ COUNTS = (
 #: Names of the counts of complete lines, in order.
 LINES = (
     "lines", "ended", "marked", "marked_chars", "gloss", "gloss_chars", "short", "short_chars", "rows_pipe", "rows_tab", "rows_semi", "rows_comma", "rows_gap", "row_chars",
-    "wordy", "line_chars", "repeats", "tokens",
+    "framed", "wordy", "line_chars", "repeats", "tokens",
 )
 _N, _L = len(COUNTS), len(LINES)
 _I = {n: i for i, n in enumerate(COUNTS)}
@@ -122,9 +125,10 @@ def _close(line: tuple, total: list[int], lines: list[int]) -> None:
     prose = ended and (c[_I["common"]] >= 3 or c[_I["common_han"]] >= 2) and size >= 6
     lines[_J["wordy"]] += prose
     row = False
-    rule = not c[_I["letters"]] + c[_I["han"]] + c[_I["digits"]] and c[_I["pipes"]] >= 2
+    rule = _RULE.fullmatch(head) is not None
+    framed = head.lstrip()[:1] == "|" == tail[-1:]
     for name, hit in (
-        ("rows_pipe", c[_I["pipes"]] >= 2 and (rule or c[_I["covered"]] > 0.3 * chars)),
+        ("rows_pipe", c[_I["pipes"]] >= 2 and (rule or framed or c[_I["covered"]] > 0.3 * chars)),
         ("rows_tab", c[_I["tabs"]] >= 1),
         ("rows_gap", c[_I["gaps"]] >= 1),
         ("rows_semi", c[_I["semis"]] >= 1),
@@ -133,6 +137,7 @@ def _close(line: tuple, total: list[int], lines: list[int]) -> None:
         if hit and not prose:
             lines[_J[name]] += 1
             row = True
+    lines[_J["framed"]] += (framed or rule) and c[_I["pipes"]] >= 2
     lines[_J["row_chars"]] += row * chars
     if _MARKER.match(head):
         lines[_J["marked"]] += 1
@@ -151,7 +156,10 @@ def summarize(piece: str) -> dict:
     tokens = piece.split()
     folded = [t.lower() for t in tokens]
     lines[_J["tokens"]] = max(len(tokens), 1)
-    lines[_J["repeats"]] = len(tokens) - len(set(folded)) if len(tokens) > 1 else int(len(piece) > 40 and len({piece[i : i + 2] for i in range(len(piece))}) <= 6)
+    if len(tokens) > 1:  # in stretches, so that long texts do not count as repetition
+        lines[_J["repeats"]] = sum(len(w) - len(set(w)) for w in (folded[i : i + STRETCH] for i in range(0, len(folded), STRETCH)))
+    else:
+        lines[_J["repeats"]] = int(len(piece) > 40 and len({piece[i : i + 2] for i in range(len(piece))}) <= 6)
     parts = re.split("\r\n|[\n\r\x85\u2028\u2029]", piece)
     if len(parts) == 1:
         return {"total": total, "lines": lines, "one": True, "first": _open(parts[0]), "last": ([0] * _N, "", "")}
@@ -208,7 +216,8 @@ def _kind(c: dict, n: dict, ink: int, units: float, r: dict) -> str:
     rows = max(n["rows_pipe"], n["rows_tab"], n["rows_semi"], n["rows_comma"], n["rows_gap"])
     if c["odd"] > 0.15 * ink and c["han"] < 0.2 * ink and c["common"] < 0.15 * max(c["words"], 1):
         return "junk"
-    if c["covered"] < 0.3 * ink and ink >= 12:
+    grid = n["framed"] >= 2 and n["framed"] >= 0.7 * (k - caption)
+    if c["covered"] < 0.3 * ink and ink >= 12 and not grid:
         return "junk"
     if c["long_runs"] > 0.5 * ink or c["hex"] >= 12 and c["hex"] > 0.7 * n["tokens"]:
         return "junk"
