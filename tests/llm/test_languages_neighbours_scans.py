@@ -160,3 +160,14 @@ def test_links_and_breaks(spark):
     assert links["bef0re"] == "before" and links["thc"] == "the" and links["sessi0n"] == "session" and not set(CLEAN) & set(links)
     assert [(x[3], x[4], x[5]) for x in line_breaks("a long exam-\n ple and pre¬ \nfix, 5-\nx")] == [("exam", "-", "ple"), ("pre", "¬", "fix")]
     assert reflow("a b\nc d\n\n样本量\n较小。\n- x\n- y") == "a b c d\n\n样本量较小。\n- x\n- y"
+
+
+def test_more_links_than_one_broadcast_holds(spark, monkeypatch):
+    from quillmill.llm import scans
+
+    pages, _ = _pages(spark)
+    blocks = pages.select((F.col("id") + 5000).alias("id"), F.col("id").alias("page_id"), F.lit(0).alias("block_index"), "text")
+    one = sorted(map(tuple, scan_defects(pages, blocks).collect()))
+    monkeypatch.setattr(scans, "LINK_LIMIT", 2)
+    monkeypatch.setattr(scans, "HELD_WORDS", 10)
+    assert sorted(map(tuple, scan_defects(pages, blocks).collect())) == one
