@@ -163,7 +163,8 @@ def exact_heavy(query: Column, terms: Column | None = None) -> Column:
 def structure_terms(query: Column) -> Column:
     q = text_or_empty(query)
     fixed = F.array_compact(F.array(*[F.when(q.rlike(p), F.lit(t)) for p, t in STRUCTURE_RULES]))
-    numbered = [F.transform(F.regexp_extract_all(q, F.lit(rf"{sign}\s*([0-9]+)"), 1), lambda n, w=word: F.concat(F.lit(w), n)) for sign, word in (("表", "Table "), ("图", "Figure "))]
+    found = lambda sign, word: F.transform(F.regexp_extract_all(q, F.lit(rf"{sign}\s*([0-9]+)"), 1), lambda n: F.concat(F.lit(word), n))
+    numbered = [found("表", "Table "), found("图", "Figure ")]
     return distinct_strings(F.concat(fixed, *numbered))
 
 

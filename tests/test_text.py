@@ -28,7 +28,7 @@ def test_clips(spark):
 
 
 def test_terms(spark):
-    terms = _one(spark, X.exact_terms, ["Compare ADHD-RS in Table 3 with the within-subject p2 value", "这个Table 3里tDCS的结果", "在第二阶段", None, "rTMS/tES T1-weighted"])
+    terms = _one(spark, X.exact_terms, ["Compare ADHD-RS in Table 3 with the within-subject p2 value", "这个 Table 3 里 tDCS 的结果", "在第二阶段", None, "rTMS/tES T1-weighted"])
     assert terms[0] == ["within-subject", "ADHD-RS", "Table 3", "p2"] or set(terms[0]) >= {"within-subject", "ADHD-RS", "Table 3", "p2"}
     assert "Table 3" in terms[1] and "tDCS" in terms[1] and terms[2] == [] and terms[3] == []
     assert all(len(a) >= len(b) for t in terms for a, b in zip(t, t[1:]))
