@@ -6,6 +6,9 @@ blocks that stand alone, so runs are packed independently and only lengths are c
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,23 +88,32 @@ def prepare_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _context(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk of a section the neighbours that lend it context: left and right in turns until 420 signs."""
-    blocks = rows[rows["kind"] == 0].sort_values("lo")
-    size = dict(zip(blocks["lo"], blocks["n"]))
-    out = []
-    for c in rows[rows["kind"] == 1].itertuples():
-        if c.lo == 0 and c.hi == 0:
-            continue  # a chunk of the very first block alone gets none
-        chars, step, at_left, at_right, lowest, highest = 0, 1, True, True, blocks["lo"].iloc[0], blocks["lo"].iloc[-1]
-        while chars < 420 and (at_left or at_right):
-            for at in (c.lo - step, c.hi + step):
-                if chars < 420 and at in size:
-                    out.append((c.paper_id, c.key, at))
-                    chars += size[at]
-            at_left, at_right = c.lo - step > lowest, c.hi + step < highest
-            step += 1
-    return pd.DataFrame(out, columns=["paper_id", "key", "idx"])
+def _context(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each chunk the neighbours in its section that lend it context: by distance, left before right, until 420 signs.
+
+    Rows come sorted by paper and section, the section's blocks (kind 0) before its chunks (kind 1); only lengths are held.
+    """
+    section, at, size = None, [], []
+    for rows in batches:
+        out = []
+        for paper, name, kind, key, lo, hi, n in rows.itertuples(index=False, name=None):
+            if (paper, name) != section:
+                section, at, size = (paper, name), [], []
+            if kind == 0:
+                at.append(lo)
+                size.append(n)
+                continue
+            if hi == 0:
+                continue  # a chunk of the very first block alone gets none
+            left, right, chars = bisect_left(at, lo) - 1, bisect_right(at, hi), 0
+            while chars < 420 and (left >= 0 or right < len(at)):
+                if left >= 0 and (right >= len(at) or lo - at[left] <= at[right] - hi):
+                    i, left = left, left - 1
+                else:
+                    i, right = right, right + 1
+                out.append((paper, key, at[i]))
+                chars += size[i]
+        yield pd.DataFrame(out, columns=["paper_id", "key", "idx"])
 
 
 def chunk_papers(blocks: DataFrame, titles: DataFrame | None = None, size: int = 1000, overlap: int = 150) -> DataFrame:
@@ -172,7 +184,8 @@ def chunk_papers(blocks: DataFrame, titles: DataFrame | None = None, size: int =
     wants = kids.filter(F.col("structured") | ~F.col("han_doc")).select("paper_id", "section_id", F.lit(1).alias("kind"), "key", F.col("first_block").alias("lo"), F.col("last_block").alias("hi"), F.lit(0).alias("n")).distinct()
     offers = b.select("paper_id", "section_id", F.lit(0).alias("kind"), F.lit(-1).alias("key"), F.col("idx").alias("lo"), F.col("idx").alias("hi"), F.length("text").alias("n"))
     id_type = b.schema["paper_id"].dataType.simpleString()
-    near = wants.unionByName(offers).groupBy("paper_id", "section_id").applyInPandas(lambda x: _context(x), f"paper_id {id_type}, key int, idx int")
+    sections = wants.unionByName(offers).repartition("paper_id", "section_id").sortWithinPartitions("paper_id", "section_id", "kind", "lo")
+    near = sections.mapInPandas(_context, f"paper_id {id_type}, key int, idx int")
     lent = near.join(b.select("paper_id", "idx", "text"), ["paper_id", "idx"]).groupBy("paper_id", "key").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("x"))
     lent = lent.select("paper_id", "key", F.array_join(F.transform("x", lambda x: x["text"]), "\n\n").alias("supporting_context"))
 

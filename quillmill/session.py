@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,17 @@ def local_session(name: str = "quillmill", cpus: str | int = "*", memory: str =
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, once per context, wherever the driver found it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillmill_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="quillmill-package-"), "quillmill.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(path)
+    sc._quillmill_shipped = True
