@@ -330,8 +330,9 @@ def papers_sorted_nulls_last(s: SparkSession, d: str) -> DataFrame:
 
 
 def _vector_docs(s: SparkSession, d: str) -> DataFrame:
+    """Every document; those without a vector have a null one and are searched and ask by their text alone."""
     e = R(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return R(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")).join(e, "id")
+    return R(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")).join(e, "id", "left")
 
 
 def _askers(docs: DataFrame) -> DataFrame:
@@ -372,19 +373,10 @@ def sparse_and_match(s: SparkSession, d: str) -> DataFrame:
     return retrieval.sparse_search(docs, q, 1 << 30).select("q_id", "chunk_id")
 
 
-def _lexical(docs: DataFrame, asks: DataFrame, k: int) -> DataFrame:
-    """Ranked word overlap through the inverted index."""
-    posts = retrieval.index_tokens(docs)
-    q = asks.select("q_id", F.array_distinct(X.tokens(F.col("query"))).alias("q")).withColumn("n", F.size("q"))
-    hits = q.select("q_id", "n", F.explode("q").alias("token")).join(posts, "token").groupBy("q_id", "n", "chunk_id").agg(F.count("*").alias("h"))
-    scored = hits.select("q_id", "chunk_id", (F.col("h") / F.col("n").cast("double")).alias("score"))
-    return retrieval._ranked(scored, ["q_id"], k)
-
-
 def _hybrid(s: SparkSession, d: str, k: int = 20) -> DataFrame:
     docs = _vector_docs(s, d)
     asks = _askers(docs)
-    lex = _lexical(docs, asks, k).select("q_id", F.lit("sparse").alias("source"), F.lit(0).alias("source_pos"), "chunk_id", "score", "rank")
+    lex = retrieval.overlap_search(docs, asks, k).select("q_id", F.lit("sparse").alias("source"), F.lit(0).alias("source_pos"), "chunk_id", "score", "rank")
     cos = retrieval.dense_search(docs, asks, k).select("q_id", F.lit("dense").alias("source"), F.lit(1).alias("source_pos"), "chunk_id", "score", "rank")
     return retrieval.fuse(lex.unionByName(cos), k)
 
