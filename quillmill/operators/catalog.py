@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import excerpt, strip
+from quillmill.session import cut
 
 
 def live(df: DataFrame, tenant: int | None = None, tenant_column: str = "organization_id") -> DataFrame:
@@ -49,6 +50,16 @@ def date_order(df: DataFrame, date: str, row_id: str, descending: bool = True) -
     return df.orderBy(key, F.col(row_id))
 
 
+def date_places(df: DataFrame, date: str, row_id: str, descending: bool = True) -> DataFrame:
+    """Adds the place of every row in `date_order`, from 1. Ranges of the order are numbered apart and moved by the rows before them."""
+    ranged = cut(date_order(df, date, row_id, descending).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    key = F.col(date).desc_nulls_last() if descending else F.col(date).asc_nulls_last()
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key, F.col(row_id)))
+    return ranged.withColumn("_at", inside).join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
 def file_key(name: Column) -> Column:
     """Base name in lower case, the key of duplicate detection."""
     return F.lower(F.element_at(F.split(name, r"[\\/]"), -1))

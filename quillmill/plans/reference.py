@@ -321,9 +321,8 @@ def fill_doi(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, published_at, row_number() OVER (ORDER BY published_at DESC NULLS LAST, id) AS place FROM papers WHERE deleted_at IS NULL QUALIFY place <= 100")
 def papers_sorted_nulls_last(s: SparkSession, d: str) -> DataFrame:
-    p = catalog.date_order(catalog.live(R(s, d, "papers")), "published_at", "id").limit(100).select("id", "published_at")
-    w = Window.orderBy(F.col("published_at").desc_nulls_last(), "id")
-    return p.withColumn("place", F.row_number().over(w).cast("long"))
+    """The place of every live paper; the SQL counterpart stops at 100."""
+    return catalog.date_places(catalog.live(R(s, d, "papers")).select("id", "published_at"), "published_at", "id")
 
 
 # --- retrieval over documents and vectors: the vector of a document is the one of its number; every 50th asks ---
