@@ -1,16 +1,20 @@
 """Visually identical text with different characters, brought to one form.
 
 Only segments that can change are touched. A character class built from the Unicode
-quick-check properties (NFKC quick check, plus invisible signs, odd spaces and look-alike
-letters) finds unstable runs; each run is normalised together with the base character before
-it and the combining marks after it, and spliced back into the untouched text.
+quick-check properties (NFKC quick check NO and MAYBE, plus invisible signs, odd spaces and
+look-alike letters) finds unstable runs; each run is normalised together with the base character
+before it and the combining marks after it, and spliced back into the untouched text. MAYBE are
+the signs that may compose with the one before them: combining marks, vowel signs of Indic scripts,
+vowels and final consonants of decomposed Hangul.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -39,9 +43,17 @@ INVISIBLE = (
 _INVISIBLE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in INVISIBLE) + "]+")
 
 
+@lru_cache(maxsize=1)
+def _maybe() -> frozenset:
+    """Characters whose quick check is MAYBE: second halves of canonical pairs, vowels and finals of Hangul."""
+    pairs = (unicodedata.decomposition(chr(cp)).split() for cp in range(0xC0, sys.maxunicode + 1) if not 0xAC00 <= cp <= 0xD7A3)
+    seconds = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"}
+    return frozenset(seconds | set(map(chr, (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)))))
+
+
 @lru_cache(maxsize=1)
 def _tables() -> tuple[re.Pattern, frozenset]:
-    """(pattern of an unstable run with its boundary context, characters that stay as they are)."""
+    """(pattern of an unstable run, characters that stay as they are)."""
     kept, unstable = set(), []
     for cp in range(0x80, sys.maxunicode + 1):
         if 0x3400 <= cp <= 0x9FFF or 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF or 0x20000 <= cp <= 0x2F7FF or cp >= 0x30000 and not 0xE0000 <= cp < 0xE1000:
@@ -49,7 +61,7 @@ def _tables() -> tuple[re.Pattern, frozenset]:
         ch = chr(cp)
         if unicodedata.decomposition(ch).startswith(_VISIBLE) and ch not in "℃℉":
             kept.add(ch)
-        elif not unicodedata.is_normalized("NFKC", ch) or unicodedata.combining(ch) or cp in _FOLD or _INVISIBLE.match(ch) or (ch.isspace()):
+        elif not unicodedata.is_normalized("NFKC", ch) or unicodedata.combining(ch) or ch in _maybe() or cp in _FOLD or _INVISIBLE.match(ch) or (ch.isspace()):
             unstable.append(cp)
     runs, start = [], None
     for a, b in zip(unstable, unstable[1:] + [-1]):
@@ -88,7 +100,7 @@ def canonical(text: str) -> str:
     for m in _tables()[0].finditer(text):
         start, end = m.span()
         first = text[start]
-        if start > done and (unicodedata.combining(first) or _INVISIBLE.match(first)):
+        if start > done and (unicodedata.combining(first) or first in _maybe() or _INVISIBLE.match(first)):
             start -= 1  # the base character belongs to the segment
         parts += text[done:start], _segment(text[start:end])
         done = end
@@ -130,15 +142,32 @@ def equal_looking(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     """Pairs of rows with equal keys whose texts look the same everywhere and differ in code points.
 
     Blank and null texts never match. Only keys, ids and two digests per row are shuffled, so
-    long texts and a key that holds a third of the rows cost little. Columns left_id, right_id.
+    long texts and a key that holds a third of the rows cost little; every text is brought to its form once.
+    Columns left_id, right_id.
     """
 
     def digest(df: DataFrame, key: str, row_id: str, side: str) -> DataFrame:
-        form = F.regexp_replace(canonical_text(F.col(text)), r" +(?=\n|$)", "")
-        return df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
-            F.col(key).alias("_k"), F.col(row_id).alias(f"_{side}"), F.sha2(F.col(text), 256).alias(f"_raw_{side}"), form.alias("_f")
-        ).filter(F.length(F.trim("_f")) > 0).withColumn("_form", F.sha2("_f", 256)).drop("_f").distinct()
+        kept = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(row_id).alias(f"_{side}"), F.col(text).alias("_t"))
+        kinds = {f.name: f.dataType.simpleString() for f in kept.schema}
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                forms = [_LINE_END.sub("", canonical(t)) for t in b["_t"]]
+                some = [bool(f) and not f.isspace() for f in forms]
+                out = b.drop(columns="_t")
+                out[f"_raw_{side}"] = [_digest(t) for t in b["_t"]]
+                out["_form"] = [_digest(f) for f in forms]
+                yield out[some]
+
+        return kept.mapInPandas(run, f"_k {kinds['_k']}, _{side} {kinds[f'_{side}']}, _raw_{side} binary, _form binary").distinct()
 
     a, b = digest(left, left_key, left_id, "a"), digest(right, right_key, right_id, "b")
     both = a.join(b, ["_k", "_form"]).filter("_raw_a <> _raw_b")
     return both.select(F.col("_a").alias("left_id"), F.col("_b").alias("right_id")).distinct()
+
+
+_LINE_END = re.compile(r" +(?=\n|$)")
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()

@@ -55,3 +55,23 @@ def test_pairs(spark):
     got = {tuple(r) for r in equal_looking(pages, ocr, "page", "page", "id", "id").collect()}
     assert got == {(1, 11), (5, 16)}
     assert canonical_text is not None
+
+
+def test_composition_over_cuts():
+    for word in ("한국어 글자 각", "বাংলা কোনো লৌহ", "தமிழ் கொடு நௌ", "ẹ́ṩ ǘ", "ကဦ", "൦ ൊ ൌ"):
+        nfc, nfd = unicodedata.normalize("NFC", word), unicodedata.normalize("NFD", word)
+        assert canonical(nfc) == canonical(nfd) == nfc
+        assert canonical("​".join(nfd)) == nfc
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="가각각োৌো়ொொோaeẹ́́​ﬁ　²\n", max_size=30))
+def test_forms_agree(t):
+    once = canonical(t)
+    assert canonical(unicodedata.normalize("NFD", t)) == canonical(unicodedata.normalize("NFC", t)) == once == canonical(once)
+
+
+def test_forms_are_computed_once(spark):
+    df = spark.createDataFrame([(1, 1, "a")], "id long, k long, text string")
+    plan = equal_looking(df, df, "k", "k", "id", "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") <= 2 and "ArrowEvalPython" not in plan
