@@ -1,25 +1,31 @@
 """Per-document text quality statistics and the kind of text they point to.
 
-A text is cut into pieces of a fixed size. Each piece gives counts of its complete lines and
-the state of its two open lines (counts, first and last signs), which together form a monoid:
-joining two neighbours mends the word and the line that the cut went through. Pieces are
-merged in two levels, so one huge document is no long task, and ratios come last.
+A long text is cut into pieces at spaces or between two Chinese signs, so no word is cut. Each piece
+gives counts of its complete lines and the state of its two open lines (counts, first and last signs) and
+of its first and last units (for repetition), which together form a monoid: the pieces of a text
+give the figures of the whole text exactly, wherever they are cut. Pieces are merged in two
+levels, so one huge document is no long task, and ratios come last.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of a piece.
+#: Characters of a piece; a run that cannot be cut makes it longer.
 PIECE = 32_768
-#: Words among which repeated ones are counted.
-STRETCH = 100
+#: A unit is repeated if it stood among so many units before it.
+BACK = 99
+#: A text of at most so many different pairs of neighbouring signs is monotonous.
+PAIRS = 6
 #: Pieces merged in the first level.
 FAN = 64
 # Frequent words of English, German, French and Spanish, and frequent signs of Chinese.
@@ -48,6 +54,9 @@ _RULE = re.compile(r"[|+:=\s-]*\|[|+:=\s-]*")
 _DIGIT = re.compile(r"\d")
 _SEMI, _COMMA, _GAP = re.compile(r";(?=\S)"), re.compile(r",(?=\S)"), re.compile(r"(?<=\S)[ \u3000]{2,}(?=\S)")
 _LONG = re.compile(r"[A-Za-z0-9+/=_-]{40,}")
+_UNIT = re.compile(r"[㐀-䶿一-鿿]|[^\s㐀-䶿一-鿿]+")
+_CUT = re.compile(r"(?<=\S)\s(?=\S)|[㐀-䶿一-鿿](?=[㐀-䶿一-鿿])")
+_SPACES = re.compile(r"\s{2,}|[^\S ]")
 
 #: Names of the additive counts of a stretch of text, in order.
 COUNTS = (
@@ -57,7 +66,7 @@ COUNTS = (
 #: Names of the counts of complete lines, in order.
 LINES = (
     "lines", "ended", "marked", "marked_chars", "gloss", "gloss_chars", "short", "short_chars", "rows_pipe", "rows_tab", "rows_semi", "rows_comma", "rows_gap", "row_chars",
-    "framed", "wordy", "line_chars", "repeats", "tokens",
+    "framed", "wordy", "line_chars",
 )
 _N, _L = len(COUNTS), len(LINES)
 _I = {n: i for i, n in enumerate(COUNTS)}
@@ -83,7 +92,7 @@ def _measure(s: str) -> list[int]:
     return [
         len(s), len(s) - sum(map(len, tokens)), letters, han, digits, len(latin), letters, sum(map(COMMON.__contains__, map(str.lower, latin))),
         common_han, len(numbers), len(_END.findall(s)), sum(map(low.count, "aeiouy" if plain else "aeiouyáàâäãéèêëíìîïóòôöõúùûüœæ")), odd,
-        sum(len(t) == 2 and bool(_HEX.match(t)) for t in tokens), sum(len(t) for t in tokens if len(t) >= 40 and _LONG.search(t)),
+        sum(len(t) == 2 and bool(_HEX.match(t)) for t in tokens), sum(map(len, _LONG.findall(s))) if any(len(t) >= 40 for t in tokens) else 0,
         sum(len(w) for w in latin if len(w) > 2) + sum(map(len, numbers)) + han,
         s.count("|"), s.count("\t"), len(_SEMI.findall(s)) if ";" in s else 0, len(_COMMA.findall(s)) if "," in s else 0,
         len(_GAP.findall(s)) if "  " in s or "\u3000" in s else 0,
@@ -91,22 +100,14 @@ def _measure(s: str) -> list[int]:
 
 
 def _open(s: str) -> tuple:
-    """State of an open line: counts, first and last signs."""
-    return _measure(s), s[:HEAD], s[-TAIL:]
+    """State of an open line: counts, first signs, last signs with every run of spaces as one."""
+    tail = s[-TAIL:]
+    return _measure(s), s[:HEAD], _SPACES.sub(" ", s)[-TAIL:] if _SPACES.search(tail) else tail
 
 
 def _join(a: tuple, b: tuple) -> tuple:
-    """Two neighbouring stretches of one line. The words that meet at the cut are mended."""
-    if not a[0][0]:
-        return b
-    if not b[0][0]:
-        return a
-    counts = [x + y for x, y in zip(a[0], b[0])]
-    left, right = re.search(r"\S*\s*$", a[2]).group(), re.match(r"\s*\S*", b[1]).group()
-    if left and right:
-        for i, (w, x, y) in enumerate(zip(_measure(left + right), _measure(left), _measure(right))):
-            counts[i] += w - x - y
-    return counts, (a[1] + b[1])[:HEAD] if len(a[1]) < HEAD else a[1], (a[2] + b[2])[-TAIL:]
+    """Two neighbouring stretches of one line."""
+    return [x + y for x, y in zip(a[0], b[0])], (a[1] + b[1])[:HEAD], (a[2] + (b[2][1:] if a[2][-1:] == " " == b[2][:1] else b[2]))[-TAIL:]
 
 
 def _close(line: tuple, total: list[int], lines: list[int]) -> None:
@@ -150,35 +151,87 @@ def _close(line: tuple, total: list[int], lines: list[int]) -> None:
         lines[_J["short_chars"]] += chars
 
 
-def summarize(piece: str) -> dict:
-    """Partial state of one piece."""
-    total, lines = [0] * _N, [0] * _L
-    tokens = piece.split()
-    folded = [t.lower() for t in tokens]
-    lines[_J["tokens"]] = max(len(tokens), 1)
-    if len(tokens) > 1:  # in stretches, so that long texts do not count as repetition
-        lines[_J["repeats"]] = sum(len(w) - len(set(w)) for w in (folded[i : i + STRETCH] for i in range(0, len(folded), STRETCH)))
+def units_of(s: str) -> list[str]:
+    """What repetition is counted in: Chinese signs, and runs of other signs between spaces, in lower case."""
+    low = s.lower()
+    return low.split() if low.isascii() else _UNIT.findall(low)
+
+
+def _repetition(piece: str, joins: bool) -> dict:
+    """units, repeated ones, tokens between spaces, and what joining needs: units at both ends, kinds of sign pairs, outer signs."""
+    units, n_tokens = units_of(piece), len(piece.split())
+    n = len(units)
+    if n <= BACK + 1:
+        seen: set[str] = set()
+        again = [u in seen or seen.add(u) is not None for u in units]
     else:
-        lines[_J["repeats"]] = int(len(piece) > 40 and len({piece[i : i + 2] for i in range(len(piece))}) <= 6)
+        last: dict[str, int] = {}
+        again = []
+        for i, u in enumerate(units):
+            again.append(i - last.get(u, -BACK - 1) <= BACK)
+            last[u] = i
+    mark = lambda u: xxhash.xxh3_64_intdigest(u.encode("utf-8", "surrogatepass")) >> 1
+    pairs: set[str] = set()
+    for x, y in pairwise(piece):
+        pairs.add(x + y)
+        if len(pairs) > PAIRS:
+            break
+    return {
+        "units": n, "repeats": sum(again), "tokens": n_tokens, "pairs": sorted(pairs), "ends": piece[:1] + piece[-1:],
+        "head": [-1 if r else mark(u) for u, r in zip(units[:BACK], again)] if joins else [], "tail": [mark(u) for u in units[-BACK:]] if joins else [],
+    }
+
+
+def _rejoin(a: dict, b: dict) -> dict:
+    """Repetition over two neighbouring pieces: the first units of the right one look back into the left one."""
+    if not a["ends"] or not b["ends"]:
+        return a if a["ends"] else b
+    tail, head, found = a["tail"], list(b["head"]), 0
+    for j, u in enumerate(head):
+        if u >= 0 and u in tail[max(len(tail) - (BACK - j), 0) :]:
+            head[j], found = -1, found + 1
+    pairs = sorted({*a["pairs"], *b["pairs"], a["ends"][-1] + b["ends"][0]})[: PAIRS + 1]
+    cut_through = not a["ends"][-1].isspace() and not b["ends"][0].isspace()
+    return {
+        "units": a["units"] + b["units"], "repeats": a["repeats"] + b["repeats"] + found, "tokens": a["tokens"] + b["tokens"] - cut_through, "pairs": pairs,
+        "ends": a["ends"][0] + b["ends"][-1], "head": (a["head"] + head)[:BACK] if a["units"] < BACK else a["head"], "tail": (tail + b["tail"])[-BACK:],
+    }
+
+
+def summarize(piece: str, joins: bool = True) -> dict:
+    """Partial state of one piece; what only joining needs is left out on demand."""
+    total, lines = [0] * _N, [0] * _L
     parts = re.split("\r\n|[\n\r\x85\u2028\u2029]", piece)
+    state = {"total": total, "lines": lines, "one": len(parts) == 1, "first": _open(parts[0]), "again": _repetition(piece, joins)}
     if len(parts) == 1:
-        return {"total": total, "lines": lines, "one": True, "first": _open(parts[0]), "last": ([0] * _N, "", "")}
+        return state | {"last": ([0] * _N, "", "")}
     for p in parts[1:-1]:
         _close(_open(p), total, lines)
-    return {"total": total, "lines": lines, "one": False, "first": _open(parts[0]), "last": _open(parts[-1])}
+    return state | {"last": _open(parts[-1])}
 
 
 def merge(a: dict, b: dict) -> dict:
     """State of two neighbouring pieces; associative."""
     total, lines = [x + y for x, y in zip(a["total"], b["total"])], [x + y for x, y in zip(a["lines"], b["lines"])]
-    if a["one"] and b["one"]:
-        return {"total": total, "lines": lines, "one": True, "first": _join(a["first"], b["first"]), "last": b["last"]}
+    both = {"total": total, "lines": lines, "one": a["one"] and b["one"], "again": _rejoin(a["again"], b["again"])}
     if a["one"]:
-        return {"total": total, "lines": lines, "one": False, "first": _join(a["first"], b["first"]), "last": b["last"]}
+        return both | {"first": _join(a["first"], b["first"]), "last": b["last"]}
     if b["one"]:
-        return {"total": total, "lines": lines, "one": False, "first": a["first"], "last": _join(a["last"], b["first"])}
+        return both | {"first": a["first"], "last": _join(a["last"], b["first"])}
     _close(_join(a["last"], b["first"]), total, lines)
-    return {"total": total, "lines": lines, "one": False, "first": a["first"], "last": b["last"]}
+    return both | {"first": a["first"], "last": b["last"]}
+
+
+def cut_text(text: str, piece: int = PIECE) -> Iterator[str]:
+    """Pieces of about `piece` signs that make up the text, cut behind a space or between two Chinese signs only."""
+    at = 0
+    while len(text) - at > piece:
+        m = _CUT.search(text, at + piece - 1)
+        if not m:
+            break
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:]
 
 
 def finish(s: dict) -> dict:
@@ -187,7 +240,7 @@ def finish(s: dict) -> dict:
     _close(s["first"], total, lines)
     if not s["one"]:
         _close(s["last"], total, lines)
-    c, n = dict(zip(COUNTS, total)), dict(zip(LINES, lines))
+    c, n, again = dict(zip(COUNTS, total)), dict(zip(LINES, lines)), s["again"]
     ink = max(c["chars"] - c["spaces"], 1)
     units = c["words"] + c["han"] / 2
     out = {
@@ -202,13 +255,13 @@ def finish(s: dict) -> dict:
         "sentences": c["ends"],
         "item_share": (n["marked_chars"] + n["gloss_chars"]) / max(n["line_chars"], 1),
         "row_share": n["row_chars"] / max(n["line_chars"], 1),
-        "repeat_share": n["repeats"] / max(n["tokens"], 1),
+        "repeat_share": again["repeats"] / max(again["units"], 1),
     }
-    out["kind"] = _kind(c, n, ink, units, out) if n["lines"] else None
+    out["kind"] = _kind(c, n, again, ink, units, out) if n["lines"] else None
     return out
 
 
-def _kind(c: dict, n: dict, ink: int, units: float, r: dict) -> str:
+def _kind(c: dict, n: dict, again: dict, ink: int, units: float, r: dict) -> str:
     k = n["lines"]
     caption = 1 if k >= 3 else 0
     latin_vowels = c["vowels"] / c["letters"] if c["letters"] else 0.4
@@ -219,13 +272,13 @@ def _kind(c: dict, n: dict, ink: int, units: float, r: dict) -> str:
     grid = n["framed"] >= 2 and n["framed"] >= 0.7 * (k - caption)
     if c["covered"] < 0.3 * ink and ink >= 12 and not grid:
         return "junk"
-    if c["long_runs"] > 0.5 * ink or c["hex"] >= 12 and c["hex"] > 0.7 * n["tokens"]:
+    if c["long_runs"] > 0.5 * ink or c["hex"] >= 12 and c["hex"] > 0.7 * again["tokens"]:
         return "junk"
     if n["marked"] >= 2 and n["marked"] >= 0.6 * k and n["marked_chars"] >= 0.5 * n["line_chars"]:
         return "list"
     if rows >= 2 and rows >= 0.7 * (k - caption) and n["wordy"] <= 0.2 * k:
         return "table"
-    if n["repeats"] > 0.85 * n["tokens"] and n["tokens"] * 1 >= 8 or n["tokens"] == 1 and n["repeats"]:
+    if again["repeats"] > 0.85 * again["units"] and again["units"] >= 8 or again["tokens"] == 1 and c["chars"] > 40 and len(again["pairs"]) <= PAIRS:
         return "junk"
     if c["letters"] >= 30 and c["letters"] > 3 * c["han"] and latin_vowels < 0.22:
         return "junk"
@@ -240,10 +293,15 @@ def _kind(c: dict, n: dict, ink: int, units: float, r: dict) -> str:
     return "prose"
 
 
-_OPEN = T.StructType().add("counts", T.ArrayType(T.IntegerType())).add("head", "string").add("tail", "string")
+_OPEN = T.StructType().add("counts", T.ArrayType(T.LongType())).add("head", "string").add("tail", "string")
+_AGAIN = (
+    T.StructType().add("units", "long").add("repeats", "long").add("tokens", "long").add("pairs", T.ArrayType(T.StringType())).add("ends", "string")
+    .add("head", T.ArrayType(T.LongType())).add("tail", T.ArrayType(T.LongType()))
+)
 _STATE = (
-    T.StructType().add("total", T.ArrayType(T.IntegerType())).add("lines", T.ArrayType(T.IntegerType())).add("one", "boolean").add("first", _OPEN).add("last", _OPEN)
-)
+    T.StructType().add("total", T.ArrayType(T.LongType())).add("lines", T.ArrayType(T.LongType())).add("one", "boolean").add("first", _OPEN).add("last", _OPEN)
+    .add("again", _AGAIN)
+)
 _RESULT = T.StructType()
 for _name, _kind_of in (
     ("n_words", "long"), ("n_han", "long"), ("mean_word_length", "double"), ("symbol_ratio", "double"), ("digit_ratio", "double"), ("n_lines", "long"),
@@ -259,7 +317,9 @@ def _pack(s: dict) -> dict:
 
 def _unpack(s: dict) -> dict:
     o = {k: ([int(x) for x in s[k]["counts"]], s[k]["head"], s[k]["tail"]) for k in ("first", "last")}
-    return {"total": [int(x) for x in s["total"]], "lines": [int(x) for x in s["lines"]], "one": bool(s["one"])} | o
+    g = s["again"]
+    again = {k: int(g[k]) for k in ("units", "repeats", "tokens")} | {k: [int(x) for x in g[k]] for k in ("head", "tail")} | {"pairs": list(g["pairs"]), "ends": g["ends"]}
+    return {"total": [int(x) for x in s["total"]], "lines": [int(x) for x in s["lines"]], "one": bool(s["one"]), "again": again} | o
 
 
 def _fold(states) -> dict:
@@ -269,54 +329,72 @@ def _fold(states) -> dict:
     return whole
 
 
-@F.pandas_udf(_RESULT)
-def _direct(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([finish(summarize(t)) for t in texts], columns=_RESULT.names)
-
-
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"_row": b["_row"], "_at": b["_at"], "state": [_pack(summarize(t)) for t in b["piece"]]})
-
-
-@F.pandas_udf(_STATE)
-def _merged(lists: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_pack(_fold(x)) for x in lists], columns=["total", "lines", "one", "first", "last"])
-
-
-@F.pandas_udf(_RESULT)
-def _finished(lists: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([finish(_fold(x)) for x in lists], columns=_RESULT.names)
-
-
 def text_quality(df: DataFrame, row_id: str, text: str = "text", piece: int = PIECE) -> DataFrame:
     """One row per row of `df`: `row_id`, n_chars and the statistics (see _RESULT).
 
     kind is prose, list, table or junk; null for null, empty and blank texts, whose counts are 0
-    (n_chars is null with the text). Row ids need not be unique: rows with one id are
-    measured one by one if short; texts over one piece are merged by id, so give those distinct ids.
+    (n_chars is null with the text). Row ids need not be unique: texts over one piece are merged by id
+    and digest of the text, and rows equal in both come back as often as they came. Every text is measured once.
     """
-    base = df.select(F.col(row_id), F.col(text).alias("_t"))
-    short = F.length("_t") <= piece
-    small = base.filter(F.col("_t").isNull() | short).select(
-        row_id, F.length("_t").cast("bigint").alias("n_chars"), _direct(F.coalesce("_t", F.lit(""))).alias("s")
-    )
-    large = base.filter(~short)
-    cuts = F.transform(
-        F.sequence(F.lit(0), F.floor((F.length("_t") - 1) / piece).cast("int")), lambda i: F.struct(i.alias("at"), F.substring(F.col("_t"), i * piece + 1, F.lit(piece)).alias("p"))
-    )
-    parts = large.select(F.col(row_id).alias("_row"), F.length("_t").cast("bigint").alias("_len"), F.explode(cuts).alias("c"))
-    sizes = parts.select("_row", "_len").distinct()
-    kind = df.select(row_id).schema[0].dataType
-    states = parts.select("_row", F.col("c.at").alias("_at"), F.col("c.p").alias("piece")).mapInPandas(_pieces, T.StructType().add("_row", kind).add("_at", T.IntegerType()).add("state", _STATE))
-    first = states.groupBy("_row", F.floor(F.col("_at") / FAN).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("_at", "state"))).alias("x"))
-    first = first.select("_row", "_g", _merged(F.col("x.state")).alias("state"))
-    second = first.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_g", "state"))).alias("x"))
-    big = second.select("_row", _finished(F.col("x.state")).alias("s")).join(sizes, "_row").select(F.col("_row").alias(row_id), F.col("_len").alias("n_chars"), "s")
-    return small.unionByName(big).select(row_id, "n_chars", "s.*")
+    base = df.select(F.col(row_id).alias("_row"), F.col(text).alias("_t"))
+    kind = base.schema["_row"].dataType
+    short = F.col("_t").isNull() | (F.length("_t") <= piece)
+    result = T.StructType().add("_row", kind).add("n_chars", "long")
+    for f in _RESULT:
+        result.add(f)
+
+    def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = pd.DataFrame([finish(summarize(t or "", joins=False)) for t in b["_t"]], columns=_RESULT.names)
+            out.insert(0, "_row", b["_row"])
+            out.insert(1, "n_chars", pd.array([None if t is None else len(t) for t in b["_t"]], "Int64"))
+            yield out
+
+    piece_schema = T.StructType().add("_row", kind).add("_digest", "binary").add("_len", "long").add("_at", "long").add("piece", "string")
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r, t in zip(b["_row"], b["_t"]):
+                digest, held, size = hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest(), [], 0
+                for i, p in enumerate(cut_text(t, piece)):
+                    held.append((r, digest, len(t), i, p))
+                    size += len(p)
+                    if size > 64 * PIECE:
+                        yield pd.DataFrame(held, columns=piece_schema.names)
+                        held, size = [], 0
+                if held:
+                    yield pd.DataFrame(held, columns=piece_schema.names)
+
+    state_schema = T.StructType([*piece_schema.fields[:4], T.StructField("copies", T.LongType()), T.StructField("state", _STATE)])
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["_row", "_digest", "_len", "_at"]].assign(copies=(b["_at"] == 0).astype("int64"), state=[_pack(summarize(t)) for t in b["piece"]])
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.drop(columns="x").assign(state=[_pack(_fold(y["state"] for y in x)) for x in b["x"]])
+
+    def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = pd.DataFrame([finish(_fold(y["state"] for y in x)) for x in b["x"]], columns=_RESULT.names)
+            out.insert(0, "_row", b["_row"])
+            out.insert(1, "n_chars", b["_len"])
+            yield out.loc[out.index.repeat(b["copies"])]
+
+    small = base.filter(short).mapInPandas(direct, result)
+    # pieces of one huge text go to many tasks before they are measured
+    pieces = base.filter(~short).mapInPandas(cut_up, piece_schema).repartition("_row", "_digest", "_at")
+    keys = ["_row", "_digest", "_len"]
+    gather = lambda g, at: g.agg(F.sum("copies").alias("copies"), F.array_sort(F.collect_set(F.struct(F.col(at).alias("at"), "state"))).alias("x"))
+    first = gather(pieces.mapInPandas(measured, state_schema).groupBy(*keys, F.floor(F.col("_at") / FAN).alias("_g")), "_at")
+    merged_schema = T.StructType([*piece_schema.fields[:3], T.StructField("_g", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("state", _STATE)])
+    second = gather(first.select(*keys, "_g", "copies", "x").mapInPandas(merged, merged_schema).groupBy(*keys), "_g")
+    big = second.mapInPandas(finished, result)
+    return small.unionByName(big).withColumnRenamed("_row", row_id)
 
 
 @F.pandas_udf(T.StringType())
 def text_kind(texts: pd.Series) -> pd.Series:
     """Kind of a text at once, without pieces; null for null, empty and blank texts."""
-    return texts.map(lambda t: finish(summarize(t))["kind"] if t else None, na_action="ignore").astype(object)
+    return texts.map(lambda t: finish(summarize(t, joins=False))["kind"] if t else None, na_action="ignore").astype(object)

@@ -1,7 +1,7 @@
 import random
 
 from quillmill.llm.pairs import flag_pairs
-from quillmill.llm.quality import finish, merge, summarize, text_quality
+from quillmill.llm.quality import cut_text, finish, merge, summarize, text_quality
 
 PAIRS = [
     # (question, answer, language, may abstain, defect)
@@ -52,26 +52,46 @@ def test_kinds(spark):
     assert text_quality(df.limit(0), "i").count() == 0
 
 
+def _pieced(text, size, r):
+    parts = [summarize(p) for p in cut_text(text, size)]
+    left = parts[0]
+    for p in parts[1:]:
+        left = merge(left, p)
+    while len(parts) > 1:  # as a tree of any form
+        i = r.randrange(len(parts) - 1)
+        parts[i : i + 2] = [merge(*parts[i : i + 2])]
+    return finish(left), finish(parts[0])
+
+
 def test_pieces_merge_to_the_whole():
     r = random.Random(4)
-    text = "".join(r.choice([PROSE, "\n- item one\n", "a\tb\tc\n", " 样本量较小。", "\n\n", "word ", "it's well-known ", "12.5; "]) for _ in range(80))
-    whole = finish(summarize(text))
-    for size in (1, 3, 17, 64, 500):
-        parts = [summarize(text[i : i + size]) for i in range(0, len(text), size)]
-        left = parts[0]
-        for p in parts[1:]:
-            left = merge(left, p)
-        while len(parts) > 1:  # as a tree
-            parts = [merge(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        for s in (left, parts[0]):
-            got = finish(s)
-            assert {k: v for k, v in got.items() if k not in ("repeat_share", "kind")} == {k: v for k, v in whole.items() if k not in ("repeat_share", "kind")}, size
+    bits = [PROSE, "\n- item one\n", "a\tb\tc\n", " 样本量较小。", "\n\n", "word ", "it's well-known ", "12.5; ", "x  y   z\r\n", "哈哈哈哈", "| a | b |\n", "end.  )" + " " * 90, "3f 9a ", "A" * 60, "　　"]
+    for _ in range(60):
+        text = "".join(r.choice(bits) for _ in range(r.randint(1, 120)))
+        whole = finish(summarize(text, joins=False))
+        for size in (1, 3, 17, 64, 500):
+            assert "".join(cut_text(text, size)) == text
+            for got in _pieced(text, size, r):
+                assert got == whole, (size, text)
+
+
+def test_repetition_reaches_over_pieces():
+    r = random.Random(5)
+    for text in ("one two three " * 400, "哈" * 3000, "词语重复" * 700, " ".join(str(r.randrange(150)) for _ in range(2000))):
+        whole = finish(summarize(text, joins=False))
+        for size in (2, 40, 333):
+            assert all(got == whole for got in _pieced(text, size, r))
 
 
 def test_huge_text_goes_by_pieces(spark):
     text = (PROSE + " ") * 60
-    df = spark.createDataFrame([(1, text), (2, PROSE)], "id long, text string")
-    a = {r["id"]: r for r in text_quality(df, "id").collect()}
-    b = {r["id"]: r for r in text_quality(df, "id", piece=97).collect()}
-    for k in ("n_words", "sentences", "n_lines", "n_chars", "kind"):
-        assert a[1][k] == b[1][k], k
+    other = "Zeile mit Wörtern und 样本量较小 darin.\n" * 90
+    df = spark.createDataFrame([(1, text), (2, PROSE), (1, text), (1, other), (None, other)], "id long, text string")
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert key(text_quality(df, "id")) == key(text_quality(df, "id", piece=97)) == key(text_quality(df, "id", piece=1000))
+
+
+def test_texts_are_measured_once(spark):
+    df = spark.createDataFrame([(1, PROSE)], "id long, text string")
+    plan = text_quality(df, "id").filter("kind <> 'prose'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("direct(") == 1
