@@ -11,7 +11,7 @@ from quillmill.llm.glyphs import equal_looking, normalize_glyphs
 from quillmill.llm.languages import LANGUAGES, check_labels, count_trigrams, detect_languages, label_code
 from quillmill.llm.mixture import mix_sources, mixture_report
 from quillmill.llm.neighbours import mutual_pairs, similar_vectors, unit_vectors
-from quillmill.llm.pairs import flag_pairs
+from quillmill.llm.pairs import flag_read, read_answers
 from quillmill.llm.tokens import encode_texts
 from quillmill.llm.quality import text_kind, text_quality
 from quillmill.llm.scans import repair_pages, scan_defects
@@ -107,8 +107,9 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = read_table(spark, sf_dir, "sample_questions").select("q_id", "question", "language", "expected_abstention")
     drafts = read_table(spark, sf_dir, "assistant_drafts").select(F.col("id").alias("draft_id"), "q_id", "content")
-    pairs = drafts.filter("q_id IS NOT NULL").distinct().join(questions.dropDuplicates(["q_id"]), "q_id")
-    return flag_pairs(pairs, "question", "content", "language", "expected_abstention")
+    counts = count_trigrams(read_table(spark, sf_dir, "documents").select("text", "lang"), "text", "lang")
+    read = read_answers(drafts.filter("q_id IS NOT NULL").distinct(), "content", counts).drop("content")
+    return flag_read(read.join(questions.dropDuplicates(["q_id"]), "q_id"), "question", "_answer", "language", "expected_abstention")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
-from quillmill.llm.pairs import flag_pairs
+from quillmill.llm.languages import count_trigrams
+from quillmill.llm.pairs import breaks_off, flag_pairs, unquoted
 from quillmill.llm.quality import cut_text, finish, merge, summarize, text_quality
 
 PAIRS = [
@@ -21,9 +22,22 @@ PAIRS = [
 ]
 
 
+LABELLED = [
+    ("en", "The fox is a small animal and it lives in the wood. It was seen by two people in the morning, who were on their way to the town."),
+    ("de", "Der Fuchs ist ein kleines Tier und lebt in dem Wald. Er wurde von zwei Leuten am Morgen gesehen, die auf dem Weg in die Stadt waren."),
+    ("fr", "Le renard est un petit animal et il vit dans le bois. Il a été vu le matin par deux personnes qui étaient en route vers la ville."),
+    ("es", "El zorro es un animal pequeño y vive en el bosque. Fue visto por la mañana por dos personas que iban camino de la ciudad."),
+    ("zh", "狐狸是一种小动物，生活在树林里。"),
+]
+
+
+def _counts(spark):
+    return count_trigrams(spark.createDataFrame(LABELLED, "lang string, text string"), "text", "lang")
+
+
 def test_pairs(spark):
     df = spark.createDataFrame([(i, *p[:4], "x") for i, p in enumerate(PAIRS)], "i int, q string, a string, lang string, may boolean, defect string")
-    got = {r["i"]: r["defect"] for r in flag_pairs(df, "q", "a", "lang", "may").collect()}
+    got = {r["i"]: r["defect"] for r in flag_pairs(df, "q", "a", "lang", "may", _counts(spark)).collect()}
     assert {i: got[i] for i in got} == {i: p[4] for i, p in enumerate(PAIRS)}
     assert flag_pairs(df.limit(0), "q", "a").count() == 0
 
@@ -33,6 +47,24 @@ def test_every_rule_that_fires_is_listed(spark):
     assert flag_pairs(df, "q", "a").first()["defects"] == ["refusal", "other_language", "truncated"]
 
 
+def test_languages_of_one_script_need_counts(spark):
+    df = spark.createDataFrame([("What is it?", "Das ist ein kleiner roter Fuchs und er wohnt in dem Wald.")], "q string, a string")
+    assert flag_pairs(df, "q", "a").first()["defect"] is None
+    assert flag_pairs(df, "q", "a", counts=_counts(spark)).first()["defects"] == ["other_language"]
+
+
+def test_rules_do_not_hide_each_other(spark):
+    df = spark.createDataFrame([(1, "What is it", "What is it"), (2, "What was the name of it", "What was the name of it"), (3, "What is it?", "...")], "i int, q string, a string")
+    got = {r["i"]: r["defects"] for r in flag_pairs(df, "q", "a").collect()}
+    assert got == {1: ["copied_question"], 2: ["copied_question", "truncated"], 3: ["empty", "truncated"]}
+
+
+def test_long_answers():
+    assert unquoted('a "' + "x" * 5000 + '" b “' + "y" * 3000 + "” c").split() == ["a", "b", "c"]
+    assert unquoted("“" * 200_000) == "“" * 200_000
+    assert breaks_off("A sentence. And then some more words without " + "end " * 100_000, 0) and not breaks_off("Done. " * 100_000 + "[E1]" * 1000, 0)
+
+
 PROSE = "The sample was small, and so the estimates should be read with care. Two raters scored every form in the same week."
 KINDS = [
     (PROSE, "prose"), (PROSE.replace(" ", "\n", 6), "prose"), (PROSE + "\n- one thing\n- two things", "prose"), ("样本量较小，因此对结论仍需谨慎解释。我们在两周之后重复了所有的分析。", "prose"),
