@@ -40,14 +40,16 @@ COMMON = frozenset(
 COMMON_HAN = "的了在是和与为由均后中将被对而及于所有我们可能本"
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _HAN = re.compile(r"[㐀-䶿一-鿿]")
-_END = re.compile(r"(?<=[^\W\d_])[.!?]+(?=[\"”’)\]]*(?:\s|$))|(?<=[)%\]\d])[.!?](?=\s|$)|[。！？]")
+# starts with the signs, so that the search leaps from one to the next
+_END = re.compile(r"[.!?。！？](?:(?<=[。！？])|(?<=[^\W\d_][.!?])[.!?]*(?=[\"”’)\]]*(?:\s|$))|(?<=[)%\]\d][.!?])(?=\s|$))")
 _COMMON_HAN = re.compile(f"[{COMMON_HAN}]")
 _NUMBER = re.compile(r"(?<![^\W_])\d+(?:[.,]\d+)*(?![^\W_])")
 _ODD = re.compile("[\x80-\x9f-ÿ�]")
 _PRINTED_ENDS = tuple(".!?。！？…:：;；")
 _MARKER = re.compile(r"\s*(?:[-*•‣◦▪+–—·]\s+\S|\(?\d{1,3}(?:\.\d{1,3})*[.)、](?!\d)\s*\S|\(?[a-zA-Z][.)]\s*\S|\([ivxlc]+\)\s|\[\d{1,4}\]\s*\S|第\s*\d+\s*[项条点步]|[①-⓿❶-➓]|[（(][一二三四五六七八九十\d]{1,3}[)）]|[一二三四五六七八九十]{1,3}、)")
 _GLOSS = re.compile(r"\s*\S[^:：.。!?\t|]{0,40}[:：]\s*\S[^.。!?！？]{0,60}$")
-_HEX = re.compile(r"[0-9a-fA-F]{2}$")
+_HEX = frozenset(a + b for a in "0123456789abcdefABCDEF" for b in "0123456789abcdefABCDEF")
+_VOWELS = "aeiouyáàâäãéèêëíìîïóòôöõúùûü".encode("latin-1")
 _ASCII_WORD = re.compile(r"[A-Za-z]+(?:['-][A-Za-z]+)*")
 _NOT_HAN = re.compile(r"[^㐀-䶿一-鿿]+")
 _RULE = re.compile(r"[|+:=\s-]*\|[|+:=\s-]*")
@@ -85,15 +87,18 @@ def _measure(s: str) -> list[int]:
             latin = [x for w in latin for x in _NOT_HAN.findall(w)]
             common_han = len(_COMMON_HAN.findall(s))
     tokens = s.split()
-    letters = sum(map(len, latin))
+    sizes = list(map(len, tokens))
+    word_sizes = list(map(len, latin))
+    letters = sum(word_sizes)
     digits = len(_DIGIT.findall(s))
     numbers = _NUMBER.findall(s) if digits else ()
     low = s.lower()
+    western = low.encode("latin-1", "replace")
     return [
-        len(s), len(s) - sum(map(len, tokens)), letters, han, digits, len(latin), letters, sum(map(COMMON.__contains__, map(str.lower, latin))),
-        common_han, len(numbers), len(_END.findall(s)), sum(map(low.count, "aeiouy" if plain else "aeiouyáàâäãéèêëíìîïóòôöõúùûüœæ")), odd,
-        sum(len(t) == 2 and bool(_HEX.match(t)) for t in tokens), sum(map(len, _LONG.findall(s))) if any(len(t) >= 40 for t in tokens) else 0,
-        sum(len(w) for w in latin if len(w) > 2) + sum(map(len, numbers)) + han,
+        len(s), len(s) - sum(sizes), letters, han, digits, len(latin), letters, sum(map(COMMON.__contains__, map(str.lower, latin))),
+        common_han, len(numbers), len(_END.findall(s)), len(western) - len(western.translate(None, _VOWELS)) + (0 if plain else low.count("œ") + low.count("æ")), odd,
+        sum(map(_HEX.__contains__, tokens)) if 2 in sizes else 0, sum(map(len, _LONG.findall(s))) if sizes and max(sizes) >= 40 else 0,
+        letters - word_sizes.count(1) - 2 * word_sizes.count(2) + sum(map(len, numbers)) + han,
         s.count("|"), s.count("\t"), len(_SEMI.findall(s)) if ";" in s else 0, len(_COMMA.findall(s)) if "," in s else 0,
         len(_GAP.findall(s)) if "  " in s or "\u3000" in s else 0,
     ]
@@ -151,17 +156,19 @@ def _close(line: tuple, total: list[int], lines: list[int]) -> None:
         lines[_J["short_chars"]] += chars
 
 
-def units_of(s: str) -> list[str]:
-    """What repetition is counted in: Chinese signs, and runs of other signs between spaces, in lower case."""
-    low = s.lower()
-    return low.split() if low.isascii() else _UNIT.findall(low)
-
-
 def _repetition(piece: str, joins: bool) -> dict:
-    """units, repeated ones, tokens between spaces, and what joining needs: units at both ends, kinds of sign pairs, outer signs."""
-    units, n_tokens = units_of(piece), len(piece.split())
+    """units, repeated ones, tokens between spaces, and what joining needs: units at both ends, kinds of sign pairs, outer signs.
+
+    A unit is a Chinese sign or a run of other signs between spaces, in lower case.
+    """
+    low = piece.lower()
+    units = tokens = low.split()
+    if not low.isascii():
+        units = _UNIT.findall(low)
     n = len(units)
-    if n <= BACK + 1:
+    if n <= BACK + 1 and not joins:
+        again = [1] * (n - len(set(units)))
+    elif n <= BACK + 1:
         seen: set[str] = set()
         again = [u in seen or seen.add(u) is not None for u in units]
     else:
@@ -177,7 +184,7 @@ def _repetition(piece: str, joins: bool) -> dict:
         if len(pairs) > PAIRS:
             break
     return {
-        "units": n, "repeats": sum(again), "tokens": n_tokens, "pairs": sorted(pairs), "ends": piece[:1] + piece[-1:],
+        "units": n, "repeats": sum(again), "tokens": len(tokens), "pairs": sorted(pairs), "ends": piece[:1] + piece[-1:],
         "head": [-1 if r else mark(u) for u, r in zip(units[:BACK], again)] if joins else [], "tail": [mark(u) for u in units[-BACK:]] if joins else [],
     }
 
