@@ -3,8 +3,14 @@
 Unmistakable separators cut a field into segments. Inside a segment commas and conjunctions may
 separate values or belong to one ("Family, Given"; "Institute of A and B, Branch"). Expectation-
 maximisation learns how frequent values and value shapes are in the whole column, first from
-spans that leave no choice (quoted spans, segments of one piece), then from all; a Viterbi lattice over the pieces
-of each segment picks the likeliest split. Quoted spans are atoms.
+spans that leave no choice (quoted spans, segments of one piece), then from all, until the frequencies stand
+still; a Viterbi lattice over the pieces of each segment picks the likeliest split. Quoted spans are atoms.
+Left to itself, the likeliest model takes names that often stand together for one; so each separator inside a
+value has a price, the share of separators that certain spans hold, and the frequency of a value with
+separators inside is learned from certain spans alone.
+
+A span of more than SPAN pieces is an edge of the lattice only if its shape stands among the certain spans: the model
+gives an unknown longer span no more than its parts, so leaving it out changes no split.
 """
 
 from __future__ import annotations
@@ -13,23 +19,29 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.session import cut
 
-#: Longest run of pieces that may form one value.
+#: Pieces up to which a span of any shape may be one value.
 SPAN = 4
-#: Rounds of expectation-maximisation after the start from certain spans.
-ROUNDS = 2
-_HARD = re.compile(r"\s*(?:[;；|\n\r\t•、，　]|\s·\s|(?<![a-z])/|/(?=\s*[A-Z一-鿿]))\s*")
-_SOFT = re.compile(r"\s*,\s*(?:and\s+|und\s+|&\s*)?|\s+(?:and|und)\s+|\s*&\s*")
+#: Expectation-maximisation stops when less than this share of the shape frequencies moves, or after so many rounds.
+STILL, ROUNDS = 1e-3, 12
+#: Shape frequencies are held in so many cells (hashed; 8 MB whatever the column holds).
+CELLS = 1 << 20
+#: Parts into which the lattices of one value are split where they meet its frequency.
+SALT = 8
+_MARK = re.compile(r'[";；|\n\r\t•、，　·/,&]|[au]nd(?<=\s[au]nd)(?=\s)')
+_HARD = frozenset(";；|\n\r\t•、，　")
+_SPACE, _CAPITAL, _COMMA = re.compile(r"\s*"), re.compile(r"\s*[A-Z一-鿿]"), re.compile(r",\s*(?:and\s+|und\s+|&\s*)?")
 _QUOTED = re.compile(r'"((?:[^"\\]|\\.|"")*)"(?=\s*(?:[;；|\n\r\t•、，　,&/·]|and\s|et\s+al|$))')
 _NOBODY = re.compile(r"(?i)^[\s.]*(?:et\s+al\.?|and\s+others|others|u\.\s?a\.|y\s+otros|等|等人)?[\s.]*$")
 _TAIL = re.compile(r"(?i)[\s,]*\bet\s+al\.?\s*$")
 _WORD = re.compile(r"[^\s,&]+|,|&")
-_NONE = "\0"
 
 
 def pieces(field: str) -> list[list[tuple[str, bool, str]]]:
@@ -38,7 +50,7 @@ def pieces(field: str) -> list[list[tuple[str, bool, str]]]:
     if len(s) > 1 and s[0] == "[" and s[-1] == "]":
         s = s[1:-1]
     segments: list[list[tuple[str, bool, str]]] = [[]]
-    at, start, before = 0, 0, ""
+    start, before = 0, ""
 
     def take(text: str, quoted: bool) -> None:
         text = text.strip()
@@ -47,21 +59,31 @@ def pieces(field: str) -> list[list[tuple[str, bool, str]]]:
         if text and (quoted or not _NOBODY.match(text)):
             segments[-1].append((text, quoted, before if segments[-1] else ""))
 
-    while at < len(s):
-        if not s[start:at].strip() and (q := _QUOTED.match(s, at)):
-            take(re.sub(r"\\(.)", r"\1", q.group(1).replace('""', '"')), True)
-            at = start = q.end()
-        elif h := _HARD.match(s, at):
+    m = _MARK.search(s)
+    while m:
+        at, sign, end = m.start(), m.group(), m.end()
+        if sign == '"':
+            q = _QUOTED.match(s, at) if not s[start:at].strip() else None
+            if q:
+                take(re.sub(r"\\(.)", r"\1", q.group(1).replace('""', '"')), True)
+                start = end = q.end()
+        elif (
+            sign in _HARD
+            or sign == "·" and at > start and s[at - 1].isspace() and s[end : end + 1].isspace()
+            or sign == "/" and (not "a" <= s[at - 1 : at] <= "z" or _CAPITAL.match(s, end))
+        ):
             take(s[start:at], False)
             segments.append([])
-            at = start = max(h.end(), at + 1)
+            start = end = _SPACE.match(s, end).end()
             before = ""
-        elif x := _SOFT.match(s, at):
+        elif sign in ",&" or sign in ("and", "und") and at > start:
             take(s[start:at], False)
-            before, at = x.group(), max(x.end(), at + 1)
-            start = at
-        else:
-            at += 1
+            left = at
+            while left > start and s[left - 1].isspace():
+                left -= 1
+            start = end = (_COMMA.match(s, at) if sign == "," else _SPACE.match(s, end)).end()
+            before = s[left:start]
+        m = _MARK.search(s, end)
     take(s[start:], False)
     return [x for x in segments if x]
 
@@ -81,29 +103,59 @@ def shape(value: str) -> str:
             out.append("&" if bare in ("and", "und") else "p")
         else:
             out.append("W")
-    return "".join(out) if len(out) <= 12 else "long"
+    return "".join(out)
 
 
-def _edges(segment: list[tuple[str, bool, str]]) -> list[tuple[int, int, str]]:
-    """(from, to, value) of every span of pieces that may be one value."""
-    out = []
-    for i, (text, quoted, _) in enumerate(segment):
-        out.append((i, i + 1, text))
-        joined = text
-        for j in range(i + 1, min(len(segment), i + SPAN)):
-            if quoted or segment[j][1]:
-                break
-            joined += segment[j][2] + segment[j][0]
-            out.append((i, j + 1, joined))
-    return out
+def _key(value: str) -> int:
+    return xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _cell(form: str) -> int:
+    return xxhash.xxh32_intdigest(form.encode()) % CELLS
+
+
+class Lattice:
+    """Spans of the pieces of one segment that may be one value."""
 
+    def __init__(self, segment: list[tuple[str, bool, str]], certain: np.ndarray, longest: int):
+        self.segment, n = segment, len(segment)
+        forms = [shape(t) for t, _, _ in segment]
+        seps = [shape(d) for _, _, d in segment]
+        self.edges: list[tuple[int, int]] = []
+        self.cells: list[int] = []
+        self.words: list[int] = []
+        for i, (_, quoted, _) in enumerate(segment):
+            form = forms[i]
+            self._add(i, i + 1, form)
+            for j in range(i + 1, min(n, i + max(SPAN, longest))):
+                if quoted or segment[j][1]:
+                    break
+                form += seps[j] + forms[j]
+                if j - i < SPAN or certain[_cell(form)]:
+                    self._add(i, j + 1, form)
 
-def _log(value: str, n_value: float, shapes: dict[str, float], total: float) -> float:
-    """Log-probability of a value: half by its own frequency, half by its shape and words."""
-    form = shape(value)
-    words = max(1, sum(c in "WIpZ" for c in form)) if form != "long" else 12
-    by_shape = (shapes.get(form, 0.0) + 0.01) / (total + 0.01 * (len(shapes) + 1)) * 1e-3**words
-    return math.log(0.5 * n_value / total + 0.5 * by_shape)
+    def _add(self, i: int, j: int, form: str) -> None:
+        self.edges.append((i, j))
+        self.cells.append(_cell(form))
+        self.words.append(max(1, sum(map(form.count, "WIpZ"))))
+
+    def value(self, i: int, j: int) -> str:
+        return "".join((self.segment[i][0], *(d + t for t, _, d in self.segment[i + 1 : j])))
+
+    def logs(self, shapes: np.ndarray, total: float, kinds: int, inner_cost: float, known: dict[tuple[int, int], float]) -> list[float]:
+        """Log-probability of each edge: half by the value's own frequency, half by its shape and words, times the price of its separators."""
+        base = math.log(0.5 / (total + 0.01 * (kinds + 1)))
+        out = []
+        for e, cell, words in zip(self.edges, self.cells, self.words):
+            p = base + math.log(shapes[cell] + 0.01) - words * _WORD_COST
+            if e in known:
+                p = float(np.logaddexp(p, math.log(0.5 * known[e] / total)))
+            out.append(p - (e[1] - e[0] - 1) * inner_cost)
+        return out
+
+
+_INNER = re.compile(",&|,|&")
+_WORD_COST = math.log(1e3)
 
 
 def _expect(n: int, edges: list[tuple[int, int, float]]) -> list[float]:
@@ -122,18 +174,17 @@ def _expect(n: int, edges: list[tuple[int, int, float]]) -> list[float]:
     return [math.exp(ahead[i] + p + back[j] - ahead[n]) for i, j, p in edges]
 
 
-def _best(n: int, edges: list[tuple[int, int, float, str]]) -> list[str]:
-    """Values of the likeliest path; ties go to the shorter first value."""
-    score: list[tuple[float, int, str] | None] = [None] * (n + 1)
+def _best(n: int, edges: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """Spans of the likeliest path; ties go to the shorter first value."""
+    score: list[int] = [0] * (n + 1)
     at = [0.0] + [-math.inf] * n
-    for i, j, p, v in sorted(edges):
+    for i, j, p in sorted(edges):
         if at[i] + p > at[j]:
-            at[j], score[j] = at[i] + p, (p, i, v)
+            at[j], score[j] = at[i] + p, i
     out, j = [], n
     while j:
-        _, i, v = score[j]
-        out.append(v)
-        j = i
+        out.append((score[j], j))
+        j = score[j]
     return out[::-1]
 
 
@@ -143,68 +194,136 @@ def split_values(df: DataFrame, row_id: str, field: str) -> DataFrame:
     Null, blank and empty fields give no row; empty places and "et al." take no position; a value
     named twice counts twice. Rows with equal id and field count once; different fields under
     one id are numbered one after the other. Values come as written, without outer spaces and quotes.
-    Equal segments are counted before anything else, so a field that most rows share is one row here.
+    Equal segments are counted before anything else, so a field that most rows share is one row here. Values and
+    segments meet by 64 and 128 bit digests, so only narrow rows are shuffled.
     """
     kind = df.schema[row_id].dataType.simpleString()
+    sc = df.sparkSession.sparkContext
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r, f in zip(b["_r"], b["_f"]):
+                field = xxhash.xxh3_128_digest(f.encode("utf-8", "surrogatepass"))
                 for k, seg in enumerate(pieces(f)):
-                    out.append((r, f, k, "\x1e".join(f"{int(q)}\x1f{d}\x1f{t}" for t, q, d in seg), len(seg)))
-            yield pd.DataFrame(out, columns=["_r", "_f", "_k", "_seg", "_n"]).astype({"_k": "int32", "_n": "int32"})
+                    packed = "\x1e".join(f"{int(q)}\x1f{d}\x1f{t}" for t, q, d in seg)
+                    out.append((r, field, k, xxhash.xxh3_128_digest(packed.encode("utf-8", "surrogatepass")), packed, len(seg)))
+            yield pd.DataFrame(out, columns=["_r", "_f", "_k", "_d", "_seg", "_n"]).astype({"_k": "int32", "_n": "int32"})
 
     rows = df.filter(F.col(field).isNotNull() & F.col(row_id).isNotNull()).select(F.col(row_id).alias("_r"), F.col(field).alias("_f")).distinct()
-    parts = cut(rows.mapInPandas(cut_up, f"_r {kind}, _f string, _k int, _seg string, _n int"))
-    segments = parts.groupBy("_seg", "_n").agg(F.count("*").alias("_m"))
+    parts = cut(rows.mapInPandas(cut_up, f"_r {kind}, _f binary, _k int, _d binary, _seg string, _n int"))
+    segments = cut(parts.groupBy("_d", "_n").agg(F.count("*").alias("_m"), F.min("_seg").alias("_seg")))
+    several = segments.filter("_n > 1")
 
     def read(seg: str) -> list[tuple[str, bool, str]]:
         return [(t, q == "1", d) for q, d, t in (x.split("\x1f", 2) for x in seg.split("\x1e"))]
 
     def certain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(t, shape(t), float(m)) for seg, m in zip(b["_seg"], b["_m"]) for s in (read(seg),) for t, q, _ in s if q or len(s) == 1]
-            yield pd.DataFrame([(*x, 1.0) for x in out], columns=["value", "shape", "n", "p"])
+            values, cells, longest, inner, between = [], {}, 0, 0, 0
+            for seg, m in zip(b["_seg"], b["_m"]):
+                s = read(seg)
+                between += m * (len(s) - 1)
+                for t, q, _ in s:
+                    if q or len(s) == 1:
+                        form = shape(t)
+                        inner += m * len(_INNER.findall(form))
+                        values.append(_key(t))
+                        cells[_cell(form)] = cells.get(_cell(form), 0.0) + m
+                        longest = max(longest, 1 + form.count(",") + form.count("&"))
+            yield pd.DataFrame({"what": 0, "key": values, "n": 1.0, "most": 1.0})
+            yield pd.DataFrame({"what": 1, "key": list(cells), "n": list(cells.values()), "most": float(longest)})
+            yield pd.DataFrame({"what": 2, "key": [0, 1], "n": [float(inner), float(between)], "most": 0.0})
+
+    found_schema = "what int, key long, n double, most double"
+
+    def added(found: DataFrame) -> DataFrame:
+        return cut(found.groupBy("what", "key").agg(F.sum("n").alias("n"), F.max("most").alias("most")))
+
+    def table(found: DataFrame) -> np.ndarray:
+        got = found.filter("what = 1").select("key", "n").toPandas()  # at most CELLS rows
+        cells = np.zeros(CELLS)
+        cells[got["key"].to_numpy(np.int64)] = got["n"]
+        return cells
+
+    sure = added(segments.mapInPandas(certain, found_schema))
+    longest = int(sure.filter("what = 1").agg(F.max("most")).first()[0] or 1)
+    counted = {r["key"]: r["n"] for r in sure.filter("what = 2").collect()}  # two numbers
+    inner, between = counted.get(0, 0.0), counted.get(1, 0.0)
+    inner_cost = -math.log((inner + 1) / (inner + between + 2))
+    shapes = table(sure)
+    held = sc.broadcast(shapes > 0)
 
     def lattice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(seg, n, m, i, j, v) for seg, n, m in zip(b["_seg"], b["_n"], b["_m"]) for i, j, v in _edges(read(seg))]
-            yield pd.DataFrame(out, columns=["_seg", "_n", "_m", "i", "j", "value"]).astype({"_n": "int32", "_m": "int64", "i": "int32", "j": "int32"})
+            out = []
+            for d, seg in zip(b["_d"], b["_seg"]):
+                x = Lattice(read(seg), held.value, longest)
+                out += [(d, d[0] % SALT, i, j, _key(x.value(i, j))) for i, j in x.edges]
+            yield pd.DataFrame(out, columns=["_d", "_z", "i", "j", "key"]).astype({"_z": "int32", "i": "int32", "j": "int32", "key": "int64"})
 
-    sure = cut(segments.mapInPandas(certain, "value string, shape string, n double, p double"))
-    edges = cut(segments.filter("_n > 1").mapInPandas(lattice, "_seg string, _n int, _m long, i int, j int, value string"))
-    seen = sure
+    edges = several.select("_d", "_seg").mapInPandas(lattice, "_d binary, _z int, i int, j int, key long")
 
-    def weighed(seen: DataFrame) -> tuple[DataFrame, dict[str, float], float]:
-        """Lattices with the frequency of each value; shape frequencies (at most 5^12 forms, in practice dozens)."""
-        # a value is frequent by what other segments say: the largest share of one segment does not count
-        values = seen.groupBy("value").agg((F.sum("p") - F.max("p")).alias("c")).filter("c > 0.01")
-        shapes = {r["shape"]: r["n"] for r in seen.groupBy("shape").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(20_000).collect()}
-        grouped = edges.join(values, "value", "left").groupBy("_seg", "_n", "_m").agg(F.collect_list(F.struct("i", "j", "value", F.coalesce("c", F.lit(0.0)).alias("c"))).alias("e"))
-        return grouped, shapes, max(sum(shapes.values()), 1.0)
+    def salted(values: DataFrame) -> DataFrame:
+        return values.withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
 
-    for _ in range(ROUNDS):
-        grouped, shapes, total = weighed(seen)
+    # a value of one piece can be frequent where it stands in two segments, one of several where it is certain in another
+    stands = edges.filter("j = i + 1").select("key", F.lit(1).alias("_c")).unionByName(sure.filter("what = 0").select("key", F.lit(2).alias("_c")))
+    often = stands.groupBy("key").agg(F.sum("_c").alias("_c")).filter("_c > 1").select("key")
+    edges = cut(edges.join(salted(often), ["key", "_z"]))
 
-        def expected(batches: Iterator[pd.DataFrame], shapes=shapes, total=total) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for n, m, e in zip(b["_n"], b["_m"], b["e"]):
-                    quoted_free = [(x["i"], x["j"], _log(x["value"], x["c"], shapes, total)) for x in e]
-                    out += [(x["value"], shape(x["value"]), p * m, p) for x, p in zip(e, _expect(n, quoted_free)) if p > 1e-4]
-                yield pd.DataFrame(out, columns=["value", "shape", "n", "p"])
+    def weighed(seen: DataFrame) -> DataFrame:
+        """Segments with the frequency of each of their spans that other segments hold."""
+        # the largest share of one segment does not count
+        values = seen.filter("what = 0").select("key", (F.col("n") - F.col("most")).alias("c")).filter("c > 0.01")
+        met = edges.join(salted(values), ["key", "_z"]).groupBy("_d").agg(F.collect_list(F.struct("i", "j", "c")).alias("e"))
+        return several.join(met, "_d", "left")
 
-        seen = cut(sure.unionByName(grouped.mapInPandas(expected, "value string, shape string, n double, p double")))
-    grouped, shapes, total = weighed(seen)
+    def known(e) -> dict[tuple[int, int], float]:
+        return {} if e is None else {(x["i"], x["j"]): x["c"] for x in e}
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            best = [_best(n, [(x["i"], x["j"], _log(x["value"], x["c"], shapes, total), x["value"]) for x in e]) for n, e in zip(b["_n"], b["e"])]
-            yield pd.DataFrame({"_seg": b["_seg"], "values": best})
+    def rounds(seen: DataFrame, shapes: np.ndarray):
+        model = sc.broadcast(shapes)
+        total, kinds = max(float(shapes.sum()), 1.0), int(np.count_nonzero(shapes))
 
-    chosen = grouped.mapInPandas(decide, "_seg string, values array<string>")
-    single = segments.filter("_n = 1").select("_seg", F.array(F.substring_index("_seg", "\x1f", -1)).alias("values"))
-    found = parts.join(single.unionByName(chosen), "_seg").select("_r", "_f", "_k", F.posexplode("values").alias("_p", "value"))
+        def expected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                values, cells = [], {}
+                for seg, n, m, e in zip(b["_seg"], b["_n"], b["_m"], b["e"]):
+                    x = Lattice(read(seg), held.value, longest)
+                    logs = x.logs(model.value, total, kinds, inner_cost, known(e))
+                    own: dict[int, float] = {}
+                    for (i, j), cell, p in zip(x.edges, x.cells, _expect(n, [(i, j, p) for (i, j), p in zip(x.edges, logs)])):
+                        if p > 1e-4:
+                            if j == i + 1:
+                                k = _key(x.value(i, j))
+                                own[k] = own.get(k, 0.0) + p
+                            cells[cell] = cells.get(cell, 0.0) + p * m
+                    values += own.items()
+                yield pd.DataFrame({"what": 0, "key": [k for k, _ in values], "n": [p for _, p in values], "most": [p for _, p in values]})
+                yield pd.DataFrame({"what": 1, "key": list(cells), "n": list(cells.values()), "most": 0.0})
+
+        def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                best = []
+                for seg, n, e in zip(b["_seg"], b["_n"], b["e"]):
+                    x = Lattice(read(seg), held.value, longest)
+                    logs = x.logs(model.value, total, kinds, inner_cost, known(e))
+                    best.append([x.value(i, j) for i, j in _best(n, [(i, j, p) for (i, j), p in zip(x.edges, logs)])])
+                yield pd.DataFrame({"_d": b["_d"], "values": best})
+
+        return weighed(seen), expected, decide
+
+    seen = sure
+    for _ in range(ROUNDS):
+        lattices, expected, _ = rounds(seen, shapes)
+        seen = added(sure.unionByName(lattices.mapInPandas(expected, found_schema)))
+        before, shapes = shapes, table(seen)
+        if np.abs(shapes - before).sum() <= STILL * max(shapes.sum(), 1.0):
+            break
+    lattices, _, decide = rounds(seen, shapes)
+    chosen = lattices.mapInPandas(decide, "_d binary, values array<string>")
+    single = parts.filter("_n = 1").select("_r", "_f", "_k", F.lit(0).alias("_p"), F.substring_index("_seg", "\x1f", -1).alias("value"))
+    split = parts.filter("_n > 1").select("_r", "_f", "_k", "_d").join(chosen, "_d").select("_r", "_f", "_k", F.posexplode("values").alias("_p", "value"))
     order = Window.partitionBy("_r").orderBy("_f", "_k", "_p")
-    return found.select(F.col("_r").alias(row_id), F.row_number().over(order).alias("pos"), F.col("value"))
+    return single.unionByName(split).select(F.col("_r").alias(row_id), F.row_number().over(order).alias("pos"), F.col("value"))

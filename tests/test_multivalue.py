@@ -48,3 +48,24 @@ def test_edges(spark):
 def test_quoted_spans_are_atoms():
     assert [t for seg in pieces('"A; B", C D') for t, _, _ in seg] == ["A; B", "C D"]
     assert shape("de la Holm, Ana B.") == "ppW,WI" and shape("王芳") == "Z"
+
+
+def test_no_bound_on_pieces(spark):
+    """A long group name that is quoted once is known wherever it stands; long lists of people stay split."""
+    group = "Institute of Heat, Light, Sound, Motion, and Matter"
+    people = [f"{g} {f}" for g in GIVEN for f in FAMILY]
+    rows = [(1, f'"{group}"; Ana Holm'), (2, f"Bo Lindt, {group}"), (3, group), (4, ", ".join(people)), (5, ", ".join(people * 20)), (6, "; ".join(people)), (7, f'"{group}"; Eva Nolde')]
+    df = spark.createDataFrame(rows, "id long, field string")
+    got: dict = {}
+    for x in split_values(df, "id", "field").collect():
+        got.setdefault(x["id"], {})[x["pos"]] = x["value"]
+    got = {k: [v[p] for p in sorted(v)] for k, v in got.items()}
+    assert got[1] == [group, "Ana Holm"] and got[2] == ["Bo Lindt", group] and got[3] == [group]
+    assert got[4] == got[6] == people and got[5] == people * 20
+
+
+def test_hot_field(spark):
+    """Half of all rows hold one field; they cost one lattice and all come back."""
+    df = spark.range(4000).selectExpr("id", "if(id % 2 = 0, 'Ana Holm, Bo Lindt and Eva Nolde', concat('Ana Holm, P', char(65 + id % 26), 'n Q', char(65 + id % 7), 'x')) as field")
+    out = split_values(df, "id", "field")
+    assert out.filter("id % 2 = 0").count() == 6000 and out.filter("id % 2 = 1").count() == 4000
