@@ -1,10 +1,11 @@
 """Most similar vectors for every vector: one hierarchical small-world graph per shard.
 
 Vectors are unit length. A bounded sample gives coarse centres; each vector lives in the shard
-of its nearest centre and asks the shards of its `probes` nearest ones (or all). Crowded centres
-are split into several shards by hash, and a question to the centre goes to each of them. A shard holds
-its graph as flat neighbour arrays, one per level, and answers all its questions in lockstep.
-Shard answers are made symmetric and merged into k per vector.
+of its nearest centre. Crowded cells get centres of their own, trained inside the cell, so the number
+of shards has no bound. A vector also asks the shards on the far side of every border that
+a neighbour of the wanted similarity may lie behind. A shard holds its graph as flat neighbour arrays,
+one per level; the neighbours of its own vectors are known when the graph is laid, vectors
+of other shards are searched in lockstep. Shard answers are made symmetric and merged into k per vector.
 """
 
 from __future__ import annotations
@@ -20,8 +21,12 @@ from quillmill.session import cut
 
 #: Vectors of the sample that gives the centres (bound; every vector is indexed all the same).
 SAMPLE = 20_000
-#: Vectors a shard should hold, and the largest number of centres.
-SHARD, CENTRES = 4096, 4096
+#: Vectors a shard should hold, centres of the first level, vectors of a crowded cell that its own centres are trained on.
+SHARD, CENTRES, CELL_SAMPLE = 4096, 4096, 20_000
+#: Rows of a crowded cell that are placed by one task.
+CELL_ROWS = 65_536
+#: A border is crossed where a neighbour of the wanted similarity lies behind it at so many standard deviations of a random direction.
+SPREAD = 2.0
 #: Neighbours per node and level, links back to it at most, candidates looked at for them, ratio of level sizes.
 LINKS, BACK, CANDIDATES, RATIO = 10, 6, 28, 16
 #: Questions answered at once.
@@ -190,116 +195,166 @@ class Graph:
         return out_ids, out_sims
 
 
+def reached(v: np.ndarray, c: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centre, mask of centres to ask) of unit vectors.
+
+    A neighbour of the given similarity is sqrt(2 - 2 similarity) away, in a random direction this share of it
+    divided by sqrt(dimensions); a centre is asked where the border to its cell is no further than SPREAD times that.
+    """
+    sims = v @ c.T
+    near = sims.argmax(axis=1)
+    between = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))
+    gap = sims[np.arange(len(v)), near][:, None] - sims
+    return near, gap <= SPREAD * np.sqrt(max(2 - 2 * similarity, 0.0) / max(c.shape[1], 1)) * between[near]
+
+
 def similar_vectors(
     vectors: DataFrame,
     queries: DataFrame | None = None,
     k: int = 10,
     ef: int = 32,
-    probes: int | None = 3,
+    reach: float = 0.4,
     min_similarity: float = -1.0,
     shard: int = SHARD,
     sample: int = SAMPLE,
+    first_level: int = CENTRES,
 ) -> DataFrame:
     """a, b, similarity, rank: for each id a the k most similar other ids found (ties by smaller id).
 
     `vectors` and `queries` come from unit_vectors; without `queries` every vector asks, and a
-    pair found from either side counts for both. `probes` None asks all shards. Rows with equal vectors
-    form one node: the k+1 smallest ids of each group stand for it, which is all a list
-    of k can hold, so a vector that a third of the rows share is one node. Answers below
-    min_similarity are dropped early. An empty table gives an empty result.
+    pair found from either side counts for both. Neighbours of a similarity of `reach` (or min_similarity, if that
+    is more) are sought behind the borders of a cell; a lower `reach` asks more shards. Rows with equal vectors
+    form one node, and every one of them gets its list; the k+1 smallest ids of a group stand for it in the lists
+    of others, which is all a list of k can hold. Answers below min_similarity are dropped early. An empty
+    table gives an empty result.
     """
     spark = vectors.sparkSession
+    sc = spark.sparkContext
     whole = queries is None
-    # equal vectors: smallest ids of each group
-    w = Window.partitionBy("_h", "_v").orderBy("_id")
-    member = vectors.withColumn("_h", F.xxhash64("_v"))
-    member = member.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1)
-    member = cut(member.withColumn("_node", F.min("_id").over(Window.partitionBy("_h", "_v"))).select("_id", "_node", "_r", "_v"))
-    nodes = member.filter("_r = 1").select(F.col("_node").alias("_id"), "_v")
-    n = nodes.count()
     kind = vectors.schema["_id"].dataType.simpleString()
-    count = int(min(max(1, -(-n // shard)), CENTRES))
+    nodes = cut(vectors.groupBy("_v").agg(F.min("_id").alias("_id")))
+    rows = cut(vectors.join(nodes.withColumnRenamed("_id", "_node"), "_v").select("_id", "_node"))
+    order = Window.partitionBy("_node").orderBy("_id")
+    heads = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1).groupBy("_node").agg(F.array_sort(F.collect_list("_id")).alias("ids"))
+    n = nodes.count()
+    count = int(min(max(1, -(-n // shard)), first_level))
     share = min(1.0, 1.2 * sample / max(n, 1))
-    taken = nodes.select("_v").sample(share, seed=5).limit(sample).toPandas()["_v"] if share < 1 else nodes.select("_v").limit(sample).toPandas()["_v"]
-    middle = spark.sparkContext.broadcast(centres(_matrix(taken), count) if len(taken) else np.zeros((1, 1), np.float32))
+    taken = (nodes.select("_v").sample(share, seed=5) if share < 1 else nodes.select("_v")).limit(sample).toPandas()["_v"]
+    middle = sc.broadcast(centres(_matrix(taken), count) if len(taken) else np.zeros((1, 1), np.float32))
+    wanted = max(reach, min_similarity)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 yield pd.DataFrame({"_id": b["_id"], "_v": b["_v"], "_c": (_matrix(b["_v"]) @ middle.value.T).argmax(axis=1).astype(np.int32)})
 
-    placed = cut(nodes.mapInPandas(place, f"_id {kind}, _v binary, _c int"))
-    crowd = {r["_c"]: r["n"] for r in placed.groupBy("_c").agg(F.count("*").alias("n")).collect()}  # at most CENTRES rows
-    parts = np.array([max(1, -(-crowd.get(c, 0) // (2 * shard))) for c in range(count)], np.int32)
-    first = np.concatenate(([0], np.cumsum(parts)[:-1])).astype(np.int32)
-    layout = spark.sparkContext.broadcast((parts, first))
-    ask = count if probes is None else min(probes, count)
+    placed = cut(nodes.select("_id", "_v").mapInPandas(place, f"_id {kind}, _v binary, _c int"))
+    crowd = {r["_c"]: r["n"] for r in placed.groupBy("_c").agg(F.count("*").alias("n")).collect() if r["n"] > 2 * shard}  # at most CENTRES rows
+    crowded = F.col("_c").isin(list(crowd)) if crowd else F.lit(False)
+    schema = f"_c int, _s int, _id {kind}, _v binary, _q tinyint"
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, first = layout.value
+    def moved(b: pd.DataFrame, cells: np.ndarray, shards: np.ndarray, row: np.ndarray, asks: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"_c": cells.astype(np.int32), "_s": shards.astype(np.int32), "_id": b["_id"].to_numpy()[row], "_v": b["_v"].to_numpy()[row], "_q": asks.astype(np.int8)})
+
+    def living(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Vectors in their cell; where all ask, also in the other cells they ask."""
         for b in batches:
-            if not len(b):
-                continue
-            c = b["_c"].to_numpy()
-            own = first[c] + pd.util.hash_array(b["_id"].to_numpy()).astype(np.uint64) % parts[c].astype(np.uint64) if len(c) else c
-            yield pd.DataFrame({"_s": own.astype(np.int32), "_id": b["_id"], "_v": b["_v"], "_q": np.int8(0)})
-
-    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, first = layout.value
+            if len(b):
+                own = b["_c"].to_numpy()
+                yield moved(b, own, np.zeros(len(b)), np.arange(len(b)), np.zeros(len(b)))
+                if whole:
+                    _, ask = reached(_matrix(b["_v"]), middle.value, wanted)
+                    ask[np.arange(len(b)), own] = False
+                    row, cell = np.nonzero(ask)
+                    yield moved(b, cell, np.zeros(len(row)), row, np.ones(len(row)))
+
+    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            sims = _matrix(b["_v"]) @ middle.value.T
-            near = np.argpartition(-sims, ask - 1, axis=1)[:, :ask] if ask < sims.shape[1] else np.tile(np.arange(sims.shape[1]), (len(b), 1))
-            times = parts[near]
-            row = np.repeat(np.repeat(np.arange(len(b)), near.shape[1]), times.ravel())
-            start = np.repeat(first[near].ravel(), times.ravel())
-            within = np.arange(len(row)) - np.repeat(np.cumsum(times.ravel()) - times.ravel(), times.ravel())
-            shard_no = (start + within).astype(np.int32)
-            ids, v = b["_id"].to_numpy()[row], b["_v"].to_numpy()[row]
-            yield pd.DataFrame({"_s": shard_no, "_id": ids, "_v": v, "_q": np.int8(1)})
-
-    schema = f"_s int, _id {kind}, _v binary, _q tinyint"
-    wanted = placed.select("_id", "_v") if whole else queries
-    rows = placed.mapInPandas(spread, schema).unionByName(wanted.mapInPandas(asked, schema))
+            if len(b):
+                row, cell = np.nonzero(reached(_matrix(b["_v"]), middle.value, wanted)[1])
+                yield moved(b, cell, np.zeros(len(row)), row, np.ones(len(row)))
+
+    spread = placed.mapInPandas(living, schema)
+    if not whole:
+        askers = cut(queries.groupBy("_v").agg(F.min("_id").alias("_id")))
+        ask_rows = queries.select("_id", "_v").join(askers.select("_v", F.col("_id").alias("_node")), "_v").select("_id", "_node")
+        spread = spread.unionByName(askers.select("_id", "_v").mapInPandas(asking, schema))
+    if crowd:
+        sizes = sc.broadcast(crowd)
+
+        def thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                some = pd.util.hash_array(b["_id"].to_numpy()).astype(np.float64) / 2.0**64 < CELL_SAMPLE / b["_c"].map(sizes.value).to_numpy(np.float64)
+                yield b.loc[some, ["_c", "_v"]]
+
+        def trained(cell: pd.DataFrame) -> pd.DataFrame:
+            v, c = _matrix(cell["_v"]), int(cell["_c"].iloc[0])
+            own = centres(v, min(-(-sizes.value[c] // shard), max(len(v) // 4, 1)))
+            salts = -(-4 * sizes.value[c] // CELL_ROWS)
+            return pd.DataFrame({"_c": np.int32(c), "_z": np.arange(salts, dtype=np.int32), "centres": own.astype(np.float32).tobytes()})
+
+        inner = placed.filter(crowded).select("_id", "_c", "_v").mapInPandas(thinned, "_c int, _v binary").groupBy("_c").applyInPandas(trained, "_c int, _z int, centres binary")
+        salts = F.create_map(*[F.lit(x) for c, m in crowd.items() for x in (c, -(-4 * m // CELL_ROWS))])
+        inside = spread.filter(crowded).withColumn("_z", F.pmod(F.xxhash64("_id"), F.element_at(salts, F.col("_c"))).cast("int"))
+
+        def placed_again(b: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            """Rows of a crowded cell in the shards of its own centres."""
+            if b.empty or own.empty:
+                return pd.DataFrame({"_c": [], "_s": [], "_id": b["_id"][:0], "_v": b["_v"][:0], "_q": []}).astype({"_c": "int32", "_s": "int32", "_q": "int8"})
+            c = np.frombuffer(own["centres"].iloc[0], np.float32).reshape(-1, len(b["_v"].iloc[0]) // 4)
+            out = []
+            for a in range(0, len(b), 4096):
+                part = b.iloc[a : a + 4096]
+                q, cell = part["_q"].to_numpy(), part["_c"].to_numpy()
+                near, ask = reached(_matrix(part["_v"]), c, wanted)
+                lives = np.flatnonzero(q == 0)
+                out.append(moved(part, cell[lives], near[lives], lives, np.zeros(len(lives))))
+                ask[lives, near[lives]] = False
+                if not whole:
+                    ask[lives] = False
+                row, s = np.nonzero(ask)
+                out.append(moved(part, cell[row], s, row, np.ones(len(row))))
+            return pd.concat(out)
+
+        again = inside.groupBy("_c", "_z").cogroup(inner.groupBy("_c", "_z")).applyInPandas(placed_again, schema)
+        spread = spread.filter(~crowded).unionByName(again)
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         own, q = rows[rows["_q"] == 0].sort_values("_id"), rows[rows["_q"] == 1]
-        if own.empty or q.empty:
-            return pd.DataFrame({"a": q["_id"][:0], "b": q["_id"][:0], "s": pd.Series(dtype="float32")})
-        ids, v, held = own["_id"].to_numpy(), _matrix(own["_v"]), q["_id"].to_numpy()
-        graph = Graph(v)
-        at = np.minimum(np.searchsorted(ids, held), len(ids) - 1)
-        mine = ids[at] == held
         out = []
-        if mine.any() and graph.nearest.shape[1] and k <= CANDIDATES:  # the shard's own rows were compared while it was built
-            i = at[mine]
-            out.append((held[mine], graph.nearest[i, :k], graph.similarity[i, :k]))
-        elif mine.any():
-            out.append((held[mine], *graph.search(v[at[mine]], k + 1, ef)))
-        if not mine.all():
-            out.append((held[~mine], *graph.search(_matrix(q["_v"][~mine]), k, ef)))
+        if len(own) and (whole or len(q)):
+            ids = own["_id"].to_numpy()
+            graph = Graph(_matrix(own["_v"]))
+            if whole:
+                if k <= CANDIDATES:  # compared while the graph was laid
+                    out.append((ids, graph.nearest[:, :k], graph.similarity[:, :k]))
+                else:
+                    out.append((ids, *graph.search(graph.v, k + 1, ef)))
+            if len(q):
+                out.append((q["_id"].to_numpy(), *graph.search(_matrix(q["_v"]), k + (not whole), ef)))
+        if not out:
+            return pd.DataFrame({"a": rows["_id"][:0], "b": rows["_id"][:0], "s": pd.Series(dtype="float32")})
         a = np.concatenate([np.repeat(h, i.shape[1]) for h, i, _ in out])
         b, s = np.concatenate([ids[i.ravel()] for _, i, _ in out]), np.concatenate([x.ravel() for _, _, x in out])
-        ok = (a != b) & (s >= min_similarity)
+        ok = ((a != b) | (not whole)) & (s >= min_similarity)
         return pd.DataFrame({"a": a[ok], "b": b[ok], "s": s[ok]})
 
-    pairs = rows.groupBy("_s").applyInPandas(answer, f"a {kind}, b {kind}, s float")
+    pairs = spread.groupBy("_c", "_s").applyInPandas(answer, f"a {kind}, b {kind}, s float")
     if whole:
         pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
-    pairs = pairs.groupBy("a", "b").agg(F.max("s").alias("s"))
-    # back from nodes to rows: other ids of the same group come first
-    asking = member if whole else queries.select("_id", "_v").join(member.select("_v", "_node").distinct(), "_v", "left").select("_id", F.coalesce("_node", "_id").alias("_node"))
-    ids = member.select(F.col("_id").alias("b"), F.col("_node").alias("_nb"))
-    if whole:
-        across = pairs.join(asking.select(F.col("_id").alias("_a"), F.col("_node").alias("a")), "a").select(F.col("_a").alias("a"), F.col("b").alias("_nb"), "s")
+        itself, ask_rows = rows.select(F.col("_node").alias("a")).distinct().select("a", F.col("a").alias("b")), rows
     else:
-        across = pairs.select("a", F.col("b").alias("_nb"), "s")
-    across = across.join(ids, "_nb").select("a", "b", "s")
-    same = asking.select(F.col("_id").alias("a"), F.col("_node").alias("_nb")).join(ids, "_nb").filter("a <> b").select("a", "b", F.lit(1.0).cast("float").alias("s"))
-    every = across.filter("a <> b").unionByName(same).groupBy("a", "b").agg(F.max("s").alias("s")).filter(F.col("s") >= min_similarity)
-    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.col("s").desc(), "b"))).filter(F.col("rank") <= k)
-    return ranked.select("a", "b", F.col("s").cast("double").alias("similarity"), "rank")
+        itself = askers.select("_v", F.col("_id").alias("a")).join(nodes.withColumnRenamed("_id", "b"), "_v").select("a", "b")
+    pairs = pairs.unionByName(itself.select("a", "b", F.lit(2.0).cast("float").alias("s")))
+    pairs = pairs.groupBy("a", "b").agg(F.max("s").alias("s"))
+    # a node stands for one row at least, so its k+1 nearest nodes hold all of its k nearest rows
+    best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.col("s").desc(), "b"))).filter(F.col("_r") <= k + 1).drop("_r")
+    held = best.join(heads.withColumnRenamed("_node", "b"), "b").select("a", F.least("s", F.lit(1.0).cast("float")).alias("s"), F.explode("ids").alias("id"))
+    lists = held.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "id"))), 1, k + 1).alias("near"))
+    each = ask_rows.join(lists.withColumnRenamed("a", "_node"), "_node")
+    each = each.select(F.col("_id").alias("a"), F.posexplode(F.slice(F.filter("near", lambda x: x["id"] != F.col("_id")), 1, k)).alias("p", "x"))
+    each = each.filter(-F.col("x.d") >= min_similarity)
+    return each.select("a", F.col("x.id").alias("b"), (-F.col("x.d")).cast("double").alias("similarity"), (F.col("p") + 1).alias("rank"))
 
 
 def mutual_pairs(lists: DataFrame) -> DataFrame:

@@ -98,9 +98,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten nearest of every chunk whose id is divisible by 50, among all chunks, from all shards."""
+    """Ten nearest of every chunk whose id is divisible by 50, among all chunks."""
     vectors = cut(unit_vectors(read_table(spark, sf_dir, "paper_chunks"), "id", "embedding", DIMENSIONS))
-    lists = similar_vectors(vectors, vectors.filter("_id % 50 = 0"), k=10, ef=160, probes=None)
+    lists = similar_vectors(vectors, vectors.filter("_id % 50 = 0"), k=10, ef=160)
     return lists.select(F.col("a").alias("chunk_id"), F.col("b").alias("similar_id"), F.round("similarity", 6).alias("similarity"), "rank")
 
 

@@ -91,11 +91,45 @@ def test_similar_vectors(spark, shard):
     assert same == {(a, b) for a in ids for b in ids if a < b}  # the eleven smallest of a group of equals
 
 
+@pytest.mark.parametrize("first_level", [4096, 3])
+def test_every_row_of_a_group_of_equals_has_its_list(spark, first_level):
+    m = _vectors(900)
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(5000 + i, m[7].tolist()) for i in range(450)]
+    v = unit_vectors(spark.createDataFrame(rows, "id long, e array<float>"), "id", "e", 32)
+    got: dict = {}
+    for r in similar_vectors(v, k=10, shard=100, first_level=first_level).collect():
+        got.setdefault(r["a"], []).append((r["rank"], r["b"]))
+    assert len(got) == 1350 and all(len(x) == 10 for x in got.values())
+    for i in (5000, 5005, 5300, 5449):
+        assert [b for _, b in sorted(got[i])] == [x for x in [7, *range(5000, 5012)] if x != i][:10]
+
+
+@pytest.mark.parametrize("first_level", [4096, 4, 1])
+def test_recall_at_many_cells(spark, first_level):
+    """Lists at 40 cells, of one level or of two: recall against brute force; close pairs are all found."""
+    rng = np.random.default_rng(8)
+    topics = rng.normal(size=(60, 32))
+    m = (topics[rng.integers(0, 60, 4000)] + 0.8 * rng.normal(size=(4000, 32))).astype(np.float32)
+    m[1::10] = m[::10] + 0.2 * rng.normal(size=(400, 32)).astype(np.float32)
+    v = unit_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, e array<float>"), "id", "e", 32)
+    got: dict = {}
+    for r in similar_vectors(v, k=10, shard=100, first_level=first_level).collect():
+        got.setdefault(r["a"], set()).add(r["b"])
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sims = u @ u.T
+    np.fill_diagonal(sims, -2)
+    top = np.argsort(-sims, axis=1)[:, :10]
+    assert np.mean([len(got[i] & set(top[i].tolist())) / 10 for i in range(4000)]) >= 0.95
+    near = {(r["a"], r["b"]) for r in mutual_pairs(similar_vectors(v, k=10, min_similarity=0.9, shard=100, first_level=first_level)).collect()}
+    want = {(i, int(j)) for i in range(4000) for j in top[i] if i < j and sims[i, j] >= 0.9 and i in top[j]}
+    assert len(want) > 200 and near <= want and len(near) >= 0.99 * len(want)
+
+
 def test_queries_against_all(spark):
     m = _vectors(1200)
     v = unit_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, e array<float>"), "id", "e", 32)
     got: dict = {}
-    for r in similar_vectors(v, v.filter("_id % 50 = 0"), k=10, ef=160, probes=None, shard=300).collect():
+    for r in similar_vectors(v, v.filter("_id % 50 = 0"), k=10, ef=160, shard=300).collect():
         got.setdefault(r["a"], set()).add(r["b"])
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     rec = [len(got[i] & set(np.argsort(-(u @ u[i]))[1:11].tolist())) / 10 for i in range(0, 1200, 50)]
