@@ -140,51 +140,53 @@ class Lattice:
         self.words.append(max(1, sum(map(form.count, "WIpZ"))))
 
     def value(self, i: int, j: int) -> str:
-        return "".join((self.segment[i][0], *(d + t for t, _, d in self.segment[i + 1 : j])))
+        return _joined(self.segment, i, j)
 
-    def logs(self, shapes: np.ndarray, total: float, kinds: int, inner_cost: float, known: dict[tuple[int, int], float]) -> list[float]:
-        """Log-probability of each edge: half by the value's own frequency, half by its shape and words, times the price of its separators."""
-        base = math.log(0.5 / (total + 0.01 * (kinds + 1)))
-        out = []
-        for e, cell, words in zip(self.edges, self.cells, self.words):
-            p = base + math.log(shapes[cell] + 0.01) - words * _WORD_COST
-            if e in known:
-                p = float(np.logaddexp(p, math.log(0.5 * known[e] / total)))
-            out.append(p - (e[1] - e[0] - 1) * inner_cost)
-        return out
+
+def _logs(i, j, cells, words, shapes: np.ndarray, total: float, kinds: int, inner_cost: float, known) -> np.ndarray:
+    """Log-probability of each edge: half by the value's own frequency, half by its shape and words, times the price of its separators."""
+    inner = np.asarray(j) - i - 1
+    p = math.log(0.5 / (total + 0.01 * (kinds + 1))) + np.log(shapes[cells] + 0.01) - np.asarray(words) * _WORD_COST
+    if known is not None:
+        for x in known:
+            p[x["at"]] = np.logaddexp(p[x["at"]], math.log(0.5 * x["c"] / total))
+    return p - inner * inner_cost
+
+
+def _joined(segment: list[tuple[str, bool, str]], i: int, j: int) -> str:
+    return "".join((segment[i][0], *(d + t for t, _, d in segment[i + 1 : j])))
 
 
 _INNER = re.compile(",&|,|&")
 _WORD_COST = math.log(1e3)
 
 
-def _expect(n: int, edges: list[tuple[int, int, float]]) -> list[float]:
-    """Posterior of each edge (i, j, log-probability) in the lattice over n pieces."""
+def _expect(n: int, i: list[int], j: list[int], p: list[float]) -> list[float]:
+    """Posterior of each edge (from i to j, log-probability p, in order of i) in the lattice over n pieces."""
     ahead, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
     ahead[0] = back[n] = 0.0
-
-    def add(a: float, b: float) -> float:
-        m = max(a, b)
-        return m if m == -math.inf else m + math.log(math.exp(a - m) + math.exp(b - m))
-
-    for i, j, p in sorted(edges):
-        ahead[j] = add(ahead[j], ahead[i] + p)
-    for i, j, p in sorted(edges, reverse=True):
-        back[i] = add(back[i], back[j] + p)
-    return [math.exp(ahead[i] + p + back[j] - ahead[n]) for i, j, p in edges]
-
-
-def _best(n: int, edges: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    for a, b, x in zip(i, j, p):
+        x += ahead[a]
+        m, y = (x, ahead[b]) if x > ahead[b] else (ahead[b], x)
+        ahead[b] = m + math.log1p(math.exp(y - m)) if m > -math.inf else m
+    for a, b, x in zip(reversed(i), reversed(j), reversed(p)):
+        x += back[b]
+        m, y = (x, back[a]) if x > back[a] else (back[a], x)
+        back[a] = m + math.log1p(math.exp(y - m)) if m > -math.inf else m
+    return [math.exp(ahead[a] + x + back[b] - ahead[n]) for a, b, x in zip(i, j, p)]
+
+
+def _best(n: int, i: list[int], j: list[int], p: list[float]) -> list[tuple[int, int]]:
     """Spans of the likeliest path; ties go to the shorter first value."""
     score: list[int] = [0] * (n + 1)
     at = [0.0] + [-math.inf] * n
-    for i, j, p in sorted(edges):
-        if at[i] + p > at[j]:
-            at[j], score[j] = at[i] + p, i
-    out, j = [], n
-    while j:
-        out.append((score[j], j))
-        j = score[j]
+    for a, b, x in zip(i, j, p):
+        if at[a] + x > at[b]:
+            at[b], score[b] = at[a] + x, a
+    out, b = [], n
+    while b:
+        out.append((score[b], b))
+        b = score[b]
     return out[::-1]
 
 
@@ -213,7 +215,6 @@ def split_values(df: DataFrame, row_id: str, field: str) -> DataFrame:
     rows = df.filter(F.col(field).isNotNull() & F.col(row_id).isNotNull()).select(F.col(row_id).alias("_r"), F.col(field).alias("_f")).distinct()
     parts = cut(rows.mapInPandas(cut_up, f"_r {kind}, _f binary, _k int, _d binary, _seg string, _n int"))
     segments = cut(parts.groupBy("_d", "_n").agg(F.count("*").alias("_m"), F.min("_seg").alias("_seg")))
-    several = segments.filter("_n > 1")
 
     def read(seg: str) -> list[tuple[str, bool, str]]:
         return [(t, q == "1", d) for q, d, t in (x.split("\x1f", 2) for x in seg.split("\x1e"))]
@@ -259,29 +260,31 @@ def split_values(df: DataFrame, row_id: str, field: str) -> DataFrame:
             out = []
             for d, seg in zip(b["_d"], b["_seg"]):
                 x = Lattice(read(seg), held.value, longest)
-                out += [(d, d[0] % SALT, i, j, _key(x.value(i, j))) for i, j in x.edges]
-            yield pd.DataFrame(out, columns=["_d", "_z", "i", "j", "key"]).astype({"_z": "int32", "i": "int32", "j": "int32", "key": "int64"})
+                out.append((d[0] % SALT, [i for i, _ in x.edges], [j for _, j in x.edges], [_key(x.value(i, j)) for i, j in x.edges], x.cells, x.words))
+            yield pd.concat((b, pd.DataFrame(out, columns=["_z", "i", "j", "keys", "cells", "words"], index=b.index).astype({"_z": "int32"})), axis=1)
 
-    edges = several.select("_d", "_seg").mapInPandas(lattice, "_d binary, _z int, i int, j int, key long")
+    # the lattice of a segment is laid once, later rounds read its numbers
+    several = cut(segments.filter("_n > 1").mapInPandas(
+        lattice, "_d binary, _n int, _m long, _seg string, _z int, i array<int>, j array<int>, keys array<long>, cells array<int>, words array<int>"
+    ))
+    edges = several.select("_d", "_z", "i", "j", F.posexplode("keys").alias("at", "key"))
+    edges = edges.select("_d", "_z", "at", "key", (F.get("j", "at") == F.get("i", "at") + 1).alias("one"))
 
     def salted(values: DataFrame) -> DataFrame:
         return values.withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
 
     # a value of one piece can be frequent where it stands in two segments, one of several where it is certain in another
-    stands = edges.filter("j = i + 1").select("key", F.lit(1).alias("_c")).unionByName(sure.filter("what = 0").select("key", F.lit(2).alias("_c")))
+    stands = edges.filter("one").select("key", F.lit(1).alias("_c")).unionByName(sure.filter("what = 0").select("key", F.lit(2).alias("_c")))
     often = stands.groupBy("key").agg(F.sum("_c").alias("_c")).filter("_c > 1").select("key")
-    edges = cut(edges.join(salted(often), ["key", "_z"]))
+    edges = cut(edges.drop("one").join(salted(often), ["key", "_z"]))
 
     def weighed(seen: DataFrame) -> DataFrame:
         """Segments with the frequency of each of their spans that other segments hold."""
         # the largest share of one segment does not count
         values = seen.filter("what = 0").select("key", (F.col("n") - F.col("most")).alias("c")).filter("c > 0.01")
-        met = edges.join(salted(values), ["key", "_z"]).groupBy("_d").agg(F.collect_list(F.struct("i", "j", "c")).alias("e"))
+        met = edges.join(salted(values), ["key", "_z"]).groupBy("_d").agg(F.collect_list(F.struct("at", "c")).alias("e"))
         return several.join(met, "_d", "left")
 
-    def known(e) -> dict[tuple[int, int], float]:
-        return {} if e is None else {(x["i"], x["j"]): x["c"] for x in e}
-
     def rounds(seen: DataFrame, shapes: np.ndarray):
         model = sc.broadcast(shapes)
         total, kinds = max(float(shapes.sum()), 1.0), int(np.count_nonzero(shapes))
@@ -289,15 +292,13 @@ def split_values(df: DataFrame, row_id: str, field: str) -> DataFrame:
         def expected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 values, cells = [], {}
-                for seg, n, m, e in zip(b["_seg"], b["_n"], b["_m"], b["e"]):
-                    x = Lattice(read(seg), held.value, longest)
-                    logs = x.logs(model.value, total, kinds, inner_cost, known(e))
-                    own: dict[int, float] = {}
-                    for (i, j), cell, p in zip(x.edges, x.cells, _expect(n, [(i, j, p) for (i, j), p in zip(x.edges, logs)])):
+                for n, m, i, j, keys, at, words, e in zip(b["_n"], b["_m"], b["i"], b["j"], b["keys"], b["cells"], b["words"], b["e"]):
+                    logs = _logs(i, j, at, words, model.value, total, kinds, inner_cost, e).tolist()
+                    i, j, own = i.tolist(), j.tolist(), {}
+                    for x, y, key, cell, p in zip(i, j, keys.tolist(), at.tolist(), _expect(n, i, j, logs)):
                         if p > 1e-4:
-                            if j == i + 1:
-                                k = _key(x.value(i, j))
-                                own[k] = own.get(k, 0.0) + p
+                            if y == x + 1:
+                                own[key] = own.get(key, 0.0) + p
                             cells[cell] = cells.get(cell, 0.0) + p * m
                     values += own.items()
                 yield pd.DataFrame({"what": 0, "key": [k for k, _ in values], "n": [p for _, p in values], "most": [p for _, p in values]})
@@ -306,10 +307,10 @@ def split_values(df: DataFrame, row_id: str, field: str) -> DataFrame:
         def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 best = []
-                for seg, n, e in zip(b["_seg"], b["_n"], b["e"]):
-                    x = Lattice(read(seg), held.value, longest)
-                    logs = x.logs(model.value, total, kinds, inner_cost, known(e))
-                    best.append([x.value(i, j) for i, j in _best(n, [(i, j, p) for (i, j), p in zip(x.edges, logs)])])
+                for seg, n, i, j, at, words, e in zip(b["_seg"], b["_n"], b["i"], b["j"], b["cells"], b["words"], b["e"]):
+                    logs = _logs(i, j, at, words, model.value, total, kinds, inner_cost, e).tolist()
+                    segment = read(seg)
+                    best.append([_joined(segment, x, y) for x, y in _best(n, i.tolist(), j.tolist(), logs)])
                 yield pd.DataFrame({"_d": b["_d"], "values": best})
 
         return weighed(seen), expected, decide
