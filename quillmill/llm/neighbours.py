@@ -232,14 +232,11 @@ def similar_vectors(
     sc = spark.sparkContext
     whole = queries is None
     kind = vectors.schema["_id"].dataType.simpleString()
-    nodes = cut(vectors.groupBy("_v").agg(F.min("_id").alias("_id")))
-    rows = cut(vectors.join(nodes.withColumnRenamed("_id", "_node"), "_v").select("_id", "_node"))
-    order = Window.partitionBy("_node").orderBy("_id")
-    heads = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1).groupBy("_node").agg(F.array_sort(F.collect_list("_id")).alias("ids"))
-    n = nodes.count()
+    vectors = cut(vectors)
+    n = vectors.count()
     count = int(min(max(1, -(-n // shard)), first_level))
     share = min(1.0, 1.2 * sample / max(n, 1))
-    taken = (nodes.select("_v").sample(share, seed=5) if share < 1 else nodes.select("_v")).limit(sample).toPandas()["_v"]
+    taken = (vectors.select("_v").sample(share, seed=5) if share < 1 else vectors.select("_v")).limit(sample).toPandas()["_v"].unique()
     middle = sc.broadcast(centres(_matrix(taken), count) if len(taken) else np.zeros((1, 1), np.float32))
     wanted = max(reach, min_similarity)
 
@@ -248,7 +245,12 @@ def similar_vectors(
             if len(b):
                 yield pd.DataFrame({"_id": b["_id"], "_v": b["_v"], "_c": (_matrix(b["_v"]) @ middle.value.T).argmax(axis=1).astype(np.int32)})
 
-    placed = cut(nodes.select("_id", "_v").mapInPandas(place, f"_id {kind}, _v binary, _c int"))
+    placed = cut(vectors.groupBy("_v").agg(F.min("_id").alias("_id")).select("_id", "_v").mapInPandas(place, f"_id {kind}, _v binary, _c int"))
+    # equal vectors meet by 128 bits, so the join is narrow
+    digest = [F.xxhash64("_v").alias("_h"), F.xxhash64("_v", F.lit(7)).alias("_g")]
+    rows = cut(vectors.select("_id", *digest).join(placed.select(F.col("_id").alias("_node"), *digest), ["_h", "_g"]).select("_id", "_node"))
+    order = Window.partitionBy("_node").orderBy("_id")
+    heads = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1).groupBy("_node").agg(F.array_sort(F.collect_list("_id")).alias("ids"))
     crowd = {r["_c"]: r["n"] for r in placed.groupBy("_c").agg(F.count("*").alias("n")).collect() if r["n"] > 2 * shard}  # at most CENTRES rows
     crowded = F.col("_c").isin(list(crowd)) if crowd else F.lit(False)
     schema = f"_c int, _s int, _id {kind}, _v binary, _q tinyint"
@@ -344,7 +346,7 @@ def similar_vectors(
         pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
         itself, ask_rows = rows.select(F.col("_node").alias("a")).distinct().select("a", F.col("a").alias("b")), rows
     else:
-        itself = askers.select("_v", F.col("_id").alias("a")).join(nodes.withColumnRenamed("_id", "b"), "_v").select("a", "b")
+        itself = askers.select(F.col("_id").alias("a"), *digest).join(placed.select(F.col("_id").alias("b"), *digest), ["_h", "_g"]).select("a", "b")
     pairs = pairs.unionByName(itself.select("a", "b", F.lit(2.0).cast("float").alias("s")))
     pairs = pairs.groupBy("a", "b").agg(F.max("s").alias("s"))
     # a node stands for one row at least, so its k+1 nearest nodes hold all of its k nearest rows
