@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as X
+from quillmill.plans import sql
 from quillmill.operators import catalog, chunking, evaluate, evidence, retrieval, structure
 from quillmill.session import read_table
 from quillmill.sources.plugins import embed_with, rerank_with
@@ -19,35 +20,18 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(counterpart: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
+        if counterpart:
+            ORACLE[f.__name__] = counterpart
         return f
 
     return register
 
 
 R = read_table
-# Fixed value: one word, as the tokenizer and DuckDB see it.
-_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-
-
-def _words(x: str) -> str:
-    return rf"regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}_]+')"
-
-
-def _squeezed(x: str) -> str:
-    return f"trim(regexp_replace(coalesce({x}, ''), '{_SPACE}', ' ', 'g'))"
-
-
-def _left(x: str, drop: str) -> str:
-    return f"length(regexp_replace(coalesce({x}, ''), '{drop}', '', 'g'))"
-
-
-def _cosine(a: str, b: str) -> str:
-    return f"list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+_words, _squeezed, _left, _cosine = sql.words, sql.squeezed, sql.left_of, sql.cosine
 
 
 @query("SELECT organization_id, count(*) AS live, max(updated_at) AS last_at FROM papers WHERE deleted_at IS NULL GROUP BY 1")
@@ -175,7 +159,7 @@ def clip_snippet(s: SparkSession, d: str) -> DataFrame:
     return R(s, d, "documents").select("doc_id", F.length(X.squeeze(t)).cast("long").alias("squeezed"), X.clip(t, 180).alias("clipped"), X.preview(t).alias("preview"))
 
 
-@query()
+@query(sql.QUESTION_TERMS)
 def question_terms(s: SparkSession, d: str) -> DataFrame:
     """Exact terms, focus terms, structure and template terms, and the English query of every question."""
     q = R(s, d, "sample_questions").select("q_id", "question").distinct()
@@ -229,17 +213,17 @@ def block_offsets(s: SparkSession, d: str) -> DataFrame:
     return chunking.block_offsets(b, "paper_id", ["block_index", "id"], "text").select("id", (F.row_number().over(w) - 1).alias("pos"), "char_start")
 
 
-@query()
+@query(sql.MERGED)
 def merged_structure(s: SparkSession, d: str) -> DataFrame:
     return _parts(s, d).select("paper_id", "pos", "kind", "block_type", "page_number", F.length("text").alias("size"))
 
 
-@query()
+@query(sql.RENDERED)
 def rendered_papers(s: SparkSession, d: str) -> DataFrame:
     return structure.render(_parts(s, d))
 
 
-@query()
+@query(sql.GREEDY)
 def greedy_chunks(s: SparkSession, d: str) -> DataFrame:
     """Child and parent chunks of every paper."""
     titles = R(s, d, "papers").select(F.col("id").alias("paper_id"), "title")
@@ -247,40 +231,37 @@ def greedy_chunks(s: SparkSession, d: str) -> DataFrame:
     return c.withColumn("block_types", F.array_join("block_types", ","))
 
 
-@query()
+@query(sql.SECTIONS)
 def section_paths(s: SparkSession, d: str) -> DataFrame:
     b = _blocks(s, d).withColumn("o", F.struct("page_number", "block_index", "id"))
     out = chunking.section_paths(b.drop("section_path"), "paper_id", "o", "heading_level", "text", F.coalesce(F.col("block_type") == "heading", F.lit(False)))
     return out.select("id", "section_path")
 
 
-@query(
-    "SELECT paper_id, coalesce(section_path, 'Document') AS section_id, count(*) AS blocks, CAST(sum(length(text)) AS BIGINT) AS chars, string_agg(text, chr(10) || chr(10) ORDER BY block_index, id) AS body "
-    f"FROM {ORDERED} WHERE length(trim(coalesce(text, ''))) > 0 GROUP BY 1, 2"
-)
+@query(sql.PARENTS)
 def parent_sections(s: SparkSession, d: str) -> DataFrame:
-    b = _blocks(s, d).filter("length(trim(coalesce(text, ''))) > 0").withColumn("section_id", F.coalesce("section_path", F.lit("Document")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "id", "text"))), lambda x: x["text"]), "\n\n")
-    return b.groupBy("paper_id", "section_id").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"), body.alias("body"))
+    """The parent chunk of every section."""
+    c = chunking.chunk_papers(_parts(s, d)).filter("chunk_role = 'parent'")
+    return c.select("paper_id", "section_id", "chunk_index", "first_block", "last_block", "body_text")
+
+
+@query(sql.LINKED)
+def parent_child_link(s: SparkSession, d: str) -> DataFrame:
+    """Every child chunk with the place of its parent."""
+    return chunking.link_parents(chunking.chunk_papers(_parts(s, d))).select("paper_id", "chunk_index", "parent_index")
 
 
 @query(
     "WITH c AS (SELECT DISTINCT id, paper_id, parent_chunk_id, chunk_role, content FROM paper_chunks) SELECT k.id, p.id AS parent_id, length(p.content) AS parent_chars FROM c k LEFT JOIN c p ON p.id = k.parent_chunk_id AND p.chunk_role = 'parent' WHERE k.chunk_role = 'child'"
 )
-def parent_child_link(s: SparkSession, d: str) -> DataFrame:
+def stored_parents(s: SparkSession, d: str) -> DataFrame:
+    """Stored children with the parent their column names."""
     c = R(s, d, "paper_chunks").select("id", "parent_chunk_id", "chunk_role", "content").distinct()
     p = c.filter("chunk_role = 'parent'").select(F.col("id").alias("parent_id"), F.length("content").cast("long").alias("parent_chars"))
     return catalog.children(c).join(p, F.col("parent_chunk_id") == F.col("parent_id"), "left").select("id", "parent_id", "parent_chars")
 
 
-FOCUS_SQL = X.TABLE_FOCUS.replace("(?iu)", "").replace("'", "''")
-VALUE_SQL = X.TABLE_VALUE.replace("(?iu)", "").replace("'", "''")
-
-
-@query(
-    f"WITH b AS (SELECT id, trim(coalesce(text, '')) AS t FROM {ORDERED}), n AS (SELECT id, t, len(regexp_extract_all(t, '[-+]?[0-9]+(?:\\.[0-9]+)?')) AS n, length(regexp_replace(t, '[^\\p{{Nd}}]', '', 'g')) AS g FROM b) "
-    f"SELECT id, (n >= 3 AND regexp_matches(t, '{FOCUS_SQL}', 'i')) OR (n >= 4 AND g >= 8 AND regexp_matches(t, '{VALUE_SQL}', 'i')) OR (g >= 10 AND contains(t, '±')) AS table_body FROM n"
-)
+@query(f"SELECT id, {sql.table_body('t')} AS table_body FROM (SELECT id, trim(coalesce(text, '')) AS t FROM {ORDERED})")
 def table_body_predicate(s: SparkSession, d: str) -> DataFrame:
     return _blocks(s, d).select("id", X.looks_like_table_body(F.col("text")).alias("table_body"))
 
@@ -304,7 +285,7 @@ def ocr_fold_counts(s: SparkSession, d: str) -> DataFrame:
     return t.select("id", *[F.col(f"c.{x}").cast("long").alias(x) for x in ("fullwidth_ascii_count", "fullwidth_digit_count", "fullwidth_space_count")])
 
 
-@query()
+@query(sql.FOLDED)
 def ocr_folded(s: SparkSession, d: str) -> DataFrame:
     return R(s, d, "ocr_text_results").select("id", X.fold_fullwidth(F.col("text")).alias("folded")).distinct()
 
@@ -319,9 +300,9 @@ def fill_doi(s: SparkSession, d: str) -> DataFrame:
     return p.select("id", catalog.fill_if_empty(F.col("doi"), F.col("found")).alias("doi"), catalog.provenance(F.col("doi"), F.col("found")).alias("origin"))
 
 
-@query("SELECT id, published_at, row_number() OVER (ORDER BY published_at DESC NULLS LAST, id) AS place FROM papers WHERE deleted_at IS NULL QUALIFY place <= 100")
+@query("SELECT id, published_at, row_number() OVER (ORDER BY published_at DESC NULLS LAST, id) AS place FROM papers WHERE deleted_at IS NULL")
 def papers_sorted_nulls_last(s: SparkSession, d: str) -> DataFrame:
-    """The place of every live paper; the SQL counterpart stops at 100."""
+    """The place of every live paper."""
     return catalog.date_places(catalog.live(R(s, d, "papers")).select("id", "published_at"), "published_at", "id")
 
 
@@ -335,10 +316,10 @@ def _vector_docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _askers(docs: DataFrame) -> DataFrame:
-    return docs.filter("id % 50 = 0 AND length(content) > 0").select(F.col("id").alias("q_id"), F.lit("default").alias("variant"), F.substring("content", 1, 60).alias("query"), F.col("embedding").alias("vector"))
+    return docs.filter("id % 50 = 0 AND length(content) > 0").select(F.col("id").alias("q_id"), F.lit("default").alias("variant"), F.col("content").alias("query"), F.col("embedding").alias("vector"))
 
 
-DOCS = "docs AS (SELECT d.doc_id AS id, d.text AS content, e.embedding AS v FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id), asks AS (SELECT id AS q_id, substr(content, 1, 60) AS query, v AS qv FROM docs WHERE id % 50 = 0 AND length(content) > 0)"
+DOCS = "docs AS (SELECT d.doc_id AS id, d.text AS content, e.embedding AS v FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id), asks AS (SELECT id AS q_id, content AS query, v AS qv FROM docs WHERE id % 50 = 0 AND length(content) > 0)"
 PAIRS = f"pairs AS (SELECT q_id, id AS chunk_id, {_cosine('qv', 'v')} AS cos, list_distinct({_words('query')}) AS q, {_words('content')} AS c FROM asks, docs)"
 LEX = "CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, c)) / CAST(len(q) AS DOUBLE) END"
 
@@ -363,12 +344,12 @@ def fallback_hybrid(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH a AS (SELECT doc_id AS q_id, list_distinct({_words('substr(text, 1, 40)')}) AS q FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL), c AS (SELECT doc_id AS chunk_id, {_words('text')} AS c FROM documents) "
+    f"WITH a AS (SELECT doc_id AS q_id, list_distinct({_words('text')}) AS q FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL), c AS (SELECT doc_id AS chunk_id, {_words('text')} AS c FROM documents) "
     "SELECT q_id, chunk_id FROM a, c WHERE len(q) > 0 AND list_has_all(c, q)"
 )
 def sparse_and_match(s: SparkSession, d: str) -> DataFrame:
     docs = R(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    q = docs.filter("id % 50 = 0 AND content IS NOT NULL").select(F.col("id").alias("q_id"), F.lit("default").alias("variant"), F.substring("content", 1, 40).alias("query"), F.array().cast("array<string>").alias("terms"))
+    q = docs.filter("id % 50 = 0 AND content IS NOT NULL").select(F.col("id").alias("q_id"), F.lit("default").alias("variant"), F.col("content").alias("query"), F.array().cast("array<string>").alias("terms"))
     return retrieval.sparse_search(docs, q, 1 << 30).select("q_id", "chunk_id")
 
 
@@ -382,7 +363,7 @@ def _hybrid(s: SparkSession, d: str, k: int = 20) -> DataFrame:
 
 FUSED = (
     f"WITH {DOCS}, {PAIRS}, m AS (SELECT q_id, chunk_id, cos, {LEX} AS lex FROM pairs), l AS (SELECT q_id, 0 AS sp, chunk_id, lex AS score, row_number() OVER (PARTITION BY q_id ORDER BY round(lex, 9) DESC, chunk_id) AS rank FROM m WHERE lex > 0 QUALIFY rank <= 20), "
-    "e AS (SELECT q_id, 1 AS sp, chunk_id, cos AS score, row_number() OVER (PARTITION BY q_id ORDER BY round(cos, 9) DESC, chunk_id) AS rank FROM m QUALIFY rank <= 20), u AS (SELECT * FROM l UNION ALL SELECT * FROM e), "
+    "e AS (SELECT q_id, 1 AS sp, chunk_id, cos AS score, row_number() OVER (PARTITION BY q_id ORDER BY round(cos, 9) DESC, chunk_id) AS rank FROM m WHERE cos IS NOT NULL QUALIFY rank <= 20), u AS (SELECT * FROM l UNION ALL SELECT * FROM e), "
     "g AS (SELECT q_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, max(score) AS best, min(sp * 1000 + rank) AS f FROM u GROUP BY 1, 2), "
     "r AS (SELECT q_id, chunk_id, score, best, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, round(best, 9) DESC, f, chunk_id) AS INTEGER) AS rank FROM g QUALIFY rank <= 20)"
 )
@@ -492,13 +473,13 @@ def _searched(s: SparkSession, d: str) -> dict[str, DataFrame]:
     return retrieval.hybrid_search(chunks, questions, embed_with(), top_k=10)
 
 
-@query()
+@query(sql.VARIANTS)
 def query_variants(s: SparkSession, d: str) -> DataFrame:
     q = R(s, d, "sample_questions").select("q_id", "question").distinct()
     return retrieval.variants(retrieval.plan_questions(q)).drop("terms")
 
 
-@query()
+@query(sql.LIMITS)
 def adaptive_limits(s: SparkSession, d: str) -> DataFrame:
     return retrieval.limits(retrieval.plan_questions(R(s, d, "sample_questions").select("q_id", "question").distinct()))
 
