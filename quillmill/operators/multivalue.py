@@ -286,14 +286,21 @@ def split_values(df: DataFrame, row_id: str, field: str) -> DataFrame:
         return several.join(met, "_d", "left")
 
     def rounds(seen: DataFrame, shapes: np.ndarray):
-        model = sc.broadcast(shapes)
+        some = np.flatnonzero(shapes)
+        model = sc.broadcast((some.astype(np.int32), shapes[some]))
         total, kinds = max(float(shapes.sum()), 1.0), int(np.count_nonzero(shapes))
 
+        def dense() -> np.ndarray:
+            cells = np.zeros(CELLS)
+            cells[model.value[0]] = model.value[1]
+            return cells
+
         def expected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shapes = dense()
             for b in batches:
                 values, cells = [], {}
                 for n, m, i, j, keys, at, words, e in zip(b["_n"], b["_m"], b["i"], b["j"], b["keys"], b["cells"], b["words"], b["e"]):
-                    logs = _logs(i, j, at, words, model.value, total, kinds, inner_cost, e).tolist()
+                    logs = _logs(i, j, at, words, shapes, total, kinds, inner_cost, e).tolist()
                     i, j, own = i.tolist(), j.tolist(), {}
                     for x, y, key, cell, p in zip(i, j, keys.tolist(), at.tolist(), _expect(n, i, j, logs)):
                         if p > 1e-4:
@@ -305,10 +312,11 @@ def split_values(df: DataFrame, row_id: str, field: str) -> DataFrame:
                 yield pd.DataFrame({"what": 1, "key": list(cells), "n": list(cells.values()), "most": 0.0})
 
         def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shapes = dense()
             for b in batches:
                 best = []
                 for seg, n, i, j, at, words, e in zip(b["_seg"], b["_n"], b["i"], b["j"], b["cells"], b["words"], b["e"]):
-                    logs = _logs(i, j, at, words, model.value, total, kinds, inner_cost, e).tolist()
+                    logs = _logs(i, j, at, words, shapes, total, kinds, inner_cost, e).tolist()
                     segment = read(seg)
                     best.append([_joined(segment, x, y) for x, y in _best(n, i.tolist(), j.tolist(), logs)])
                 yield pd.DataFrame({"_d": b["_d"], "values": best})

@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 from quillmill.functions.text import compact_lines, heading_line, strip, table_text, text_or_empty
 
 # Parts of a layout label and the block type they stand for, the first that fits.
-LABELS = (("header", "heading"), ("title", "heading"), ("table", "table_like"), ("caption", "figure_caption"), ("list", "list"))
+LABELS = (
+    ("section", "heading"), ("heading", "heading"), ("title", "heading"), ("table", "table_like"), ("picture", "figure_caption"), ("figure", "figure_caption"),
+    ("list", "list"),
+)
 
 
 def block_type(label: Column) -> Column:
     """heading, table_like, figure_caption, list or paragraph of a layout label."""
     x = F.lower(text_or_empty(label))
-    out = F.lit("paragraph")
-    for part, kind in reversed(LABELS):
-        out = F.when(x.contains(part) & ~x.contains("page_header"), kind).otherwise(out)
-    return out
+    return F.coalesce(*[F.when(x.contains(part), kind) for part, kind in LABELS], F.lit("paragraph"))
 
 
 def box_distance(a: Column, b: Column) -> Column:

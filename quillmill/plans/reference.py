@@ -213,6 +213,11 @@ def block_offsets(s: SparkSession, d: str) -> DataFrame:
     return chunking.block_offsets(b, "paper_id", ["block_index", "id"], "text").select("id", (F.row_number().over(w) - 1).alias("pos"), "char_start")
 
 
+@query("SELECT DISTINCT id, CASE WHEN regexp_matches(docling_label, 'section|heading|title', 'i') THEN 'heading' WHEN docling_label ILIKE '%table%' THEN 'table_like' WHEN regexp_matches(docling_label, 'picture|figure', 'i') THEN 'figure_caption' WHEN docling_label ILIKE '%list%' THEN 'list' ELSE 'paragraph' END AS block_type FROM paper_document_blocks")
+def label_block_types(s: SparkSession, d: str) -> DataFrame:
+    return _blocks(s, d).select("id", structure.block_type(F.col("docling_label")).alias("block_type"))
+
+
 @query(sql.MERGED)
 def merged_structure(s: SparkSession, d: str) -> DataFrame:
     return _parts(s, d).select("paper_id", "pos", "kind", "block_type", "page_number", F.length("text").alias("size"))
@@ -392,7 +397,10 @@ def sufficiency(s: SparkSession, d: str) -> DataFrame:
     return out.select("q_id", "evidence_count", F.round("top_support", 3).alias("top_support"), "sufficient")
 
 
-@query()
+@query(
+    SUPPORT + ", z AS (SELECT *, coalesce(sum(s) OVER w, 0) AS before, count(*) OVER w AS c FROM ev WINDOW w AS (PARTITION BY q_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), x AS (SELECT * FROM z WHERE NOT (c >= 2 AND before >= 0.9) AND c < 4), "
+    "y AS (SELECT q_id, count(*) AS evidence_count, max(s) >= 0.55 AND round(sum(s), 4) >= 0.9 AS sufficient, round(avg(s), 4) AS mean FROM x GROUP BY 1) SELECT q_id, evidence_count, sufficient, true AS supported, CASE WHEN sufficient AND mean >= 0.5 THEN 'knowledge_base' ELSE 'kb_insufficient_evidence' END AS answer_mode FROM y"
+)
 def answer_decision(s: SparkSession, d: str) -> DataFrame:
     e = evidence.select_evidence(evidence.support(_hybrid(s, d)))
     out = evidence.decide(evidence.verify(evidence.sufficiency(e.select("q_id").distinct(), e)))
@@ -448,13 +456,13 @@ def _gold(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return gold, chunks
 
 
-@query()
+@query(sql.gold_matches(8))
 def gold_match_8gram(s: SparkSession, d: str) -> DataFrame:
     gold, chunks = _gold(s, d)
     return evaluate.gold_matches(gold, chunks)
 
 
-@query()
+@query(sql.gold_matches(24))
 def gold_match_24gram(s: SparkSession, d: str) -> DataFrame:
     gold, chunks = _gold(s, d)
     return evaluate.gold_matches(gold, chunks, 24)
@@ -495,14 +503,17 @@ def stage_failures(s: SparkSession, d: str) -> DataFrame:
     """Where the gold of each question is first found, and the stage at which it is lost."""
     found = _searched(s, d)
     gold, chunks = _gold(s, d)
-    hits = evaluate.gold_matches(gold, chunks, 24).join(gold.select("gold_id", "q_id"), "gold_id").select("q_id", "chunk_id").distinct()
+    hits = evaluate.gold_matches(gold, chunks).join(gold.select("gold_id", "q_id"), "gold_id").select("q_id", "chunk_id").distinct()
     ranks = gold.groupBy("q_id").agg(F.count("*").alias("gold_chunks"))
     for name, stage in (("sparse", "sparse"), ("dense", "dense"), ("fused", "fused"), ("reranked", "results")):
         ranks = ranks.join(evaluate.first_hits(found[stage], hits, ["q_id"]).withColumnRenamed("hit_rank", name), "q_id", "left")
     return evaluate.failure_stage(ranks)
 
 
-@query()
+@query(
+    FUSED + ", w AS (SELECT r.*, list_distinct(list_filter(string_split_regex(lower(a.query), '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda v: length(v) > 0)) AS want, string_split_regex(lower(d.content), '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+') AS has FROM r JOIN asks a ON a.q_id = r.q_id JOIN docs d ON d.id = r.chunk_id), "
+    "v AS (SELECT q_id, chunk_id, rank, len(list_intersect(want, has)) / CAST(greatest(len(want), 1) AS DOUBLE) AS rel FROM w) SELECT q_id, chunk_id, round(rel, 6) AS score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY rel DESC, rank) AS INTEGER) AS rank FROM v QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY rel DESC, rank) <= 10"
+)
 def reranked_by_overlap(s: SparkSession, d: str) -> DataFrame:
     """Hybrid results reordered by a plug-in that counts common words."""
 
@@ -516,11 +527,11 @@ def reranked_by_overlap(s: SparkSession, d: str) -> DataFrame:
     return retrieval.merge_reranked(fused, rerank_with(overlap, texts)(fused), 10).select("q_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+@query(sql.GRADES)
 def answer_grades(s: SparkSession, d: str) -> DataFrame:
     """Keyword hits, abstention, citation precision and groundedness of every draft."""
     gold, chunks = _gold(s, d)
-    held = evaluate.gold_matches(gold, chunks, 24).join(gold.select("gold_id", "q_id"), "gold_id").select("q_id", "chunk_id").distinct()
+    held = evaluate.gold_matches(gold, chunks).join(gold.select("gold_id", "q_id"), "gold_id").select("q_id", "chunk_id").distinct()
     a = R(s, d, "assistant_drafts").filter("q_id IS NOT NULL").select("id", "q_id", "content", "answer_mode", "citations_json").distinct()
     cited = a.select("id", "q_id", F.explode("citations_json").alias("c")).select("id", "q_id", F.col("c.chunk_id").alias("chunk_id")).join(held, ["q_id", "chunk_id"], "left_semi").groupBy("id").agg(F.count("*").alias("cited_gold"))
     q = R(s, d, "sample_questions").select("q_id", "expected_keywords", "keyword_hit_threshold", "expected_abstention").dropDuplicates(["q_id"])

@@ -167,3 +167,37 @@ LINKED = f"{CHUNKS} SELECT c.paper_id, c.chunk_index, p.chunk_index AS parent_in
 
 WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "　"
 FOLDED = f"SELECT DISTINCT id, translate(text, {quoted(WIDE)}, {quoted(''.join(chr(0x21 + i) for i in range(94)) + ' ')}) AS folded FROM ocr_text_results"
+
+
+def match_form(x: str) -> str:
+    return f"regexp_replace(lower(strip_accents(coalesce({x}, ''))), '[^\\p{{L}}\\p{{N}}_]', '', 'g')"
+
+
+def _sequence(x: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z]+|[-+]?[0-9]+(?:\\.[0-9]+)?')"
+
+
+def gold_steps(n: int) -> str:
+    """gold (gold_id, q_id, paper_id, snippet), chunks, and held (gold_id, chunk_id): chunks of the paper that share a run of n signs or the words in sequence."""
+    return (
+        "q AS (SELECT DISTINCT q_id, gold_evidence FROM sample_questions), e AS (SELECT q_id, unnest(gold_evidence) AS g, unnest(range(len(gold_evidence))) AS n FROM q), keys AS (SELECT DISTINCT paper_key, paper_id FROM sample_papers), "
+        "gold AS (SELECT q_id || '#' || n AS gold_id, q_id, k.paper_id, g.snippet AS snippet FROM e JOIN keys k ON k.paper_key = e.g.paper_key), "
+        "chunks AS (SELECT DISTINCT id AS chunk_id, paper_id, content AS text, chunk_index AS position FROM paper_chunks), "
+        f"gf AS (SELECT gold_id, paper_id, {match_form('snippet')} AS f, {_sequence('snippet')} AS w FROM gold), cf AS (SELECT chunk_id, paper_id, {match_form('text')} AS f, {_sequence('text')} AS w FROM chunks), "
+        f"held AS (SELECT DISTINCT gold_id, chunk_id FROM gf JOIN cf USING (paper_id) WHERE (length(gf.f) > 0 AND contains(cf.f, gf.f)) OR len(list_filter(range(length(gf.f) - {n - 1}), lambda i: contains(cf.f, substr(gf.f, CAST(i + 1 AS BIGINT), {n})))) > 0 "
+        "OR (len(gf.w) >= 3 AND contains(' ' || array_to_string(cf.w, ' ') || ' ', ' ' || array_to_string(gf.w, ' ') || ' ')))"
+    )
+
+
+def gold_matches(n: int) -> str:
+    return f"WITH {gold_steps(n)} SELECT gold_id, chunk_id FROM held"
+
+
+GRADES = (
+    f"WITH {gold_steps(8)}, hits AS (SELECT DISTINCT g.q_id, h.chunk_id FROM held h JOIN gold g USING (gold_id)), a AS (SELECT DISTINCT id, q_id, content, answer_mode, citations_json FROM assistant_drafts WHERE q_id IS NOT NULL), "
+    "ci AS (SELECT id, q_id, unnest(citations_json).chunk_id AS chunk_id FROM a), cg AS (SELECT id, count(*) AS cited_gold FROM ci WHERE EXISTS (SELECT 1 FROM hits WHERE hits.q_id = ci.q_id AND hits.chunk_id = ci.chunk_id) GROUP BY 1), "
+    "sq AS (SELECT DISTINCT q_id, expected_keywords, keyword_hit_threshold, expected_abstention FROM sample_questions), "
+    f"j AS (SELECT a.id, {match_form('a.content')} AS f, coalesce(expected_keywords, []) AS k, coalesce(keyword_hit_threshold, 1) AS t, coalesce(expected_abstention, false) AS ea, coalesce(a.answer_mode = 'kb_insufficient_evidence', false) AS ab, coalesce(len(citations_json), 0) AS n, coalesce(cited_gold, 0) AS cited FROM a JOIN sq USING (q_id) LEFT JOIN cg ON cg.id = a.id), "
+    r"h AS (SELECT *, len(list_filter(list_transform(k, lambda x: lower(regexp_replace(x, '[^\p{L}\p{N}_]+', '', 'g'))), lambda x: length(x) > 0 AND contains(f, x))) AS kh FROM j) "
+    "SELECT id, CAST(kh AS INTEGER) AS keyword_hits, ea = ab AS abstention_ok, round(CASE WHEN n > 0 THEN cited / CAST(n AS DOUBLE) WHEN ea THEN 1.0 ELSE 0.0 END, 4)::DOUBLE AS citation_precision, CASE WHEN ea THEN ea = ab ELSE (ea = ab) AND kh >= t AND cited > 0 END AS grounded FROM h"
+)

@@ -65,3 +65,42 @@ def test_catalog(spark):
     assert [r["id"] for r in catalog.date_order(dated, "d", "id").collect()] == [3, 2, 1] and [r["id"] for r in catalog.date_order(dated, "d", "id", False).collect()] == [2, 3, 1]
     p = spark.createDataFrame([(" ", "10"), ("a", "A "), ("a", "b"), (None, None)], "cur string, found string")
     assert [tuple(r) for r in p.select(catalog.fill_if_empty(F.col("cur"), F.col("found")), catalog.provenance(F.col("cur"), F.col("found"))).collect()] == [("10", None), ("a", "auto"), ("a", "manual"), (None, None)]
+
+
+def _brute(snippet, rows):
+    """The same search without bounds: every run of chunks compared in order."""
+    import re
+    from difflib import SequenceMatcher
+
+    form = lambda t: "".join(c for c in t.lower() if c.isalnum())
+    f, want = form(snippet), set(re.findall(r"[-+]?\d+(?:\.\d+)?", snippet))
+    scored = []
+    for n in (1, 2, 3, 4, 5, 6, 8, 10, 12, 16):
+        for a in range(len(rows) - n + 1):
+            g = "".join(form(t) for _, t in rows[a : a + n])
+            if g:
+                m = SequenceMatcher(None, f, g)
+                have = set().union(*[re.findall(r"[-+]?\d+(?:\.\d+)?", t) for _, t in rows[a : a + n]])
+                scored.append((round(0.45 * (len(want & have) / len(want) if want else 0) + 0.35 * max(b.size for b in m.get_matching_blocks()) / len(f) + 0.2 * m.ratio(), 12), -n, -a))
+    s, n, a = max(scored)
+    return [str(i) for i, _ in rows[-a : -a - n]]
+
+
+def test_gold_over_seams_and_closest(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+    pick = lambda k: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 5))) for _ in range(k))
+    rows = [(100 + i, f"{pick(r.randint(1, 12))} {r.randint(1, 40)} {pick(2)}") for i in range(60)]
+    rows[20], rows[21], rows[22] = (120, "so it began and the river"), (121, "was"), (122, "rising fast 7 by night")
+    chunks = spark.createDataFrame([(i, 1, t, n) for n, (i, t) in enumerate(rows)] + [(900, 2, None, 0)], "chunk_id long, paper_id long, text string, position int")
+    texts = {"a": "began and the river", "b": "iverwasris", "c": "and the river was rising fast", "d": "Xqz 33 wvx 12 kpl", "e": "zzzz yyyy 5", "f": " ", "g": "x", "h": "qq rr ss tt uu vv 17"}
+    gold = spark.createDataFrame([(k, 1, t) for k, t in texts.items()] + [("z", 2, "some text")], "gold_id string, paper_id long, snippet string")
+    for size in (2048, 24):
+        monkeypatch.setattr("quillmill.operators.evaluate.RANGE", size)
+        got = {x["gold_id"]: (x["how"], x["chunk_ids"]) for x in evaluate.resolve_gold(gold, chunks).collect()}
+        assert got["a"] == ("single", ["120"]) and got["b"][0] == "window" and got["b"][1] == ["120", "121", "122"]
+        assert got["c"][0] == "single"
+        for k in "dh":
+            assert got[k] == ("closest", _brute(texts[k], rows)), k
+        assert {x["gold_id"] for x in evaluate.unresolved(gold, evaluate.resolve_gold(gold, chunks)).collect()} >= {"f", "z"}
