@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.languages import LANGUAGES, CODES, check_labels, count_trigrams, detect_languages, normalize_label, sentences
 from quillmill.llm.neighbours import Graph, mutual_pairs, similar_vectors, unit_vectors
-from quillmill.llm.scans import learn_words, line_breaks, link_misreadings, reflow, repair_pages, scan_defects
+from quillmill.llm.scans import decide_breaks, judge_suspects, read_texts, learn_words, line_breaks, link_misreadings, reflow, repair_pages, scan_defects
 from quillmill.session import read_table
 
 DATA = "/root/testdata/sf0.01"
@@ -190,18 +190,58 @@ def test_repair(spark):
 
 def test_links_and_breaks(spark):
     pages, _ = _pages(spark)
-    links = {r["wrong"]: r["right"] for r in link_misreadings(learn_words(pages)).collect()}
+    links = {r["wrong"]: r["choices"][0]["right"] for r in link_misreadings(learn_words(pages)).collect()}
     assert links["bef0re"] == "before" and links["thc"] == "the" and links["sessi0n"] == "session" and not set(CLEAN) & set(links)
     assert [(x[3], x[4], x[5]) for x in line_breaks("a long exam-\n ple and pre¬ \nfix, 5-\nx")] == [("exam", "-", "ple"), ("pre", "¬", "fix")]
     assert reflow("a b\nc d\n\n样本量\n较小。\n- x\n- y") == "a b c d\n\n样本量较小。\n- x\n- y"
 
 
-def test_more_links_than_one_broadcast_holds(spark, monkeypatch):
+def test_a_small_filter_changes_nothing(spark, monkeypatch):
     from quillmill.llm import scans
 
     pages, _ = _pages(spark)
     blocks = pages.select((F.col("id") + 5000).alias("id"), F.col("id").alias("page_id"), F.lit(0).alias("block_index"), "text")
     one = sorted(map(tuple, scan_defects(pages, blocks).collect()))
-    monkeypatch.setattr(scans, "LINK_LIMIT", 2)
+    monkeypatch.setattr(scans, "BITS", 1)
     monkeypatch.setattr(scans, "HELD_WORDS", 10)
+    monkeypatch.setattr(scans, "REMEMBERED", 5)
     assert sorted(map(tuple, scan_defects(pages, blocks).collect())) == one
+
+
+def test_breaks_do_not_change_with_the_size_of_the_corpus(spark):
+    texts = ["the well-known sample was well-known and the photosynthesis of cells", "a well-\nknown effect of photo-\nsynthesis in a long-\nterm study", "long term terms", "New-\nYork and quick-\nzq"]
+    pages = spark.createDataFrame([(i, i, 1, t) for i, t in enumerate(texts)], "id long, paper_id long, page_number int, text string")
+    words = learn_words(pages)
+    breaks = spark.createDataFrame([("well", "known", False), ("photo", "synthesis", False), ("long", "term", False), ("new", "york", True), ("quick", "zq", False)], "left string, right string, upper boolean")
+
+    def decided(words):
+        return {(r["left"], r["right"]): r["hyphen"] for r in decide_breaks(breaks, words, link_misreadings(words)).collect()}
+
+    once = decided(words)
+    assert once == {("well", "known"): False, ("photo", "synthesis"): True, ("long", "term"): False, ("new", "york"): False, ("quick", "zq"): True}
+    many = words.withColumns({"n": F.col("n") * 1000, "traced": F.col("traced") * 1000})
+    assert decided(many) == once
+
+
+def test_context_chooses_among_linked_words(spark):
+    """A misreading of two words is corrected by the words around it."""
+    r = random.Random(3)
+    sea, hill = "ship sail wave boat harbour deck rope storm".split(), "goat path rock snow ridge slope stone peak".split()
+    rows = []
+    for i in range(300):
+        near, word = (sea, "tide") if i % 2 else (hill, "ride")
+        if i % 60 == 0:
+            word = "!ide"
+        rows.append(" ".join(x for _ in range(8) for x in (r.choice(near), r.choice(near), word)))
+    links = spark.createDataFrame([("!ide", 5, [(-900, w, None) for w in ("tide", "ride")])], "wrong string, n_wrong long, choices array<struct<order:long, right:string, vector:array<double>>>")
+    pages = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id long, text string")
+    words = learn_words(pages)
+    vectors = {x["word"]: x["vector"] for x in words.filter("word IN ('tide', 'ride')").collect()}
+    links = spark.createDataFrame([("!ide", 5, [(-900, w, vectors[w]) for w in ("tide", "ride")])], links.schema)
+    read = read_texts(pages, "text", words, links)
+    broken = decide_breaks(read.select(F.explode("breaks").alias("b")).select("b.*"), words, links)
+    got = {x["id"]: x["right"] for x in judge_suspects(read, ["id"], broken, words, links).collect()}
+    assert got == {i: "ride" for i in range(0, 300, 60)}
+    rows[60] = rows[61].replace("tide", "!ide")
+    read = read_texts(spark.createDataFrame([(60, rows[60])], "id long, text string"), "text", words, links)
+    assert [x["right"] for x in judge_suspects(read, ["id"], broken, words, links).collect()] == ["tide"]
