@@ -7,14 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmill.functions.timestamps import parse_instant, zone_ids
 from quillmill.operators.multivalue import split_values
 from quillmill.operators.timestamps import estimate_zones, normalize_timestamps
 from quillmill.session import read_table
 
 SUMMARY = "metadata_json.structured_summary"
-# The zones web results are declared in.
-SITE_ZONES = ["UTC", "Europe/London", "Europe/Berlin", "America/New_York", "America/Los_Angeles", "Asia/Kolkata", "Asia/Shanghai", "Australia/Sydney"]
-
 
 def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every author of every asset, fields with one author included."""
@@ -40,9 +38,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_site_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The zone history that fits each site's zone-less dates best, from fetch times alone."""
-    web = read_table(spark, sf_dir, "web_import_results").withColumn("site", F.regexp_extract("url", "^https?://([^/]+)", 1))
-    return estimate_zones(web, "site", "publish_date", "fetched_at", SITE_ZONES)
+    """The zone history that fits each site's zone-less dates best, from fetch times alone; declared zones are not used.
+
+    agreement: share of the rows behind the estimate whose declared zone has the same offset at that time.
+    """
+    web = read_table(spark, sf_dir, "web_import_results").select("record_id", "url", "publish_date", "site_zone", "fetched_at").distinct()
+    web = web.withColumn("site", F.regexp_extract("url", "^https?://([^/]+)", 1))
+    found = estimate_zones(web, "site", "publish_date", "fetched_at")
+    zones = zone_ids(spark)
+    bare = web.select("site", "site_zone", parse_instant(F.col("publish_date"), zones).alias("p")).filter("p.instant IS NULL AND p.local IS NOT NULL AND site_zone IS NOT NULL").select("site", "site_zone", F.col("p.local").alias("l"))
+    told = bare.filter(F.col("site_zone").isin(zones)).join(found.select("site", "since", "until", "zone"), "site").filter("(since IS NULL OR l >= since) AND (until IS NULL OR l < until)")
+    same = F.convert_timezone(F.col("zone"), F.lit("UTC"), F.col("l")) == F.convert_timezone(F.col("site_zone"), F.lit("UTC"), F.col("l"))
+    agreed = told.groupBy("site", "zone", "since").agg(F.round(F.avg(same.cast("double")), 4).alias("agreement"))
+    joined = found.alias("f").join(agreed.alias("a"), (F.col("f.site") == F.col("a.site")) & (F.col("f.zone") == F.col("a.zone")) & F.col("f.since").eqNullSafe(F.col("a.since")), "left")
+    return joined.select("f.*", "a.agreement")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_values": p3_values, "p4_found": p4_found, "p4_site_zones": p4_site_zones}
