@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import text as X
 from quillmill.plans import sql
 from quillmill.operators import catalog, chunking, evaluate, evidence, retrieval, structure
-from quillmill.session import read_table
+from quillmill.session import read_table, shared_folder
 from quillmill.sources.plugins import embed_with, rerank_with
 from quillmill.streaming import events as streams
 
@@ -550,10 +549,7 @@ def latest_job_per_type(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, CAST(max(ts) AS TIMESTAMPTZ) AS last_at, count(*) AS events, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
 def latest_event_stream(s: SparkSession, d: str) -> DataFrame:
     """The same as over the table, read as a stream until all files are done."""
-    out, mark = tempfile.mkdtemp(prefix="quillmill-stream-"), tempfile.mkdtemp(prefix="quillmill-stream-")
-    shared = s.conf.get("spark.checkpoint.dir", None)
-    if shared:  # on a cluster state and result belong into the shared folder
-        out, mark = f"{shared}/{out.rsplit('/', 1)[1]}", f"{shared}/{mark.rsplit('/', 1)[1]}"
+    out, mark = shared_folder(s, "stream-"), shared_folder(s, "stream-")
     schema = R(s, d, "events").schema
     stream = streams.read_events(s, f"{d}/events.parquet*", schema)
     latest = streams.latest_event(stream, ["user_id"], "ts", "event_id", ["event_type"])

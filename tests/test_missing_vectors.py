@@ -24,7 +24,7 @@ def _scores(texts, vectors):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     held = [set(re.findall(r"\w+", t)) for t in texts]
     for q in range(0, len(texts), 50):
-        ask = set(re.findall(r"\w+", texts[q][:60]))
+        ask = set(re.findall(r"\w+", texts[q]))
         cos = np.full(len(texts), np.nan)
         if q < len(unit):
             cos[: len(unit)] = unit @ unit[q]
