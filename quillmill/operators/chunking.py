@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import context_header, han_count, latin_count, looks_like_table_body, squeeze, strip, text_or_empty, tokens
+from quillmill.operators.sequence import last_before, places, sliced
 from quillmill.session import cut
 
 ALONE = ("table_like", "table_caption", "figure_caption")
@@ -57,10 +58,9 @@ def section_paths(rows: DataFrame, paper: str, order: str, level: str, text: str
 
 
 def block_offsets(blocks: DataFrame, paper: str, order: list[str], text: str) -> DataFrame:
-    """Adds char_start and char_end: two signs between blocks."""
-    w = Window.partitionBy(paper).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length(text) + 2).over(w), F.lit(0)).cast("long")
-    return blocks.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length(text))
+    """Adds pos (from 0), char_start and char_end in the paper: two signs between blocks."""
+    out = places(blocks, paper, order, "pos", {"char_start": F.length(text).cast("long") + 2})
+    return out.withColumn("char_end", F.col("char_start") + F.length(text))
 
 
 def reading_order(blocks: DataFrame, kind_rank: Column, index: str) -> list[Column]:
@@ -78,14 +78,9 @@ def prepare_blocks(blocks: DataFrame) -> DataFrame:
     kind = text_or_empty(F.col("block_type"))
     kept = blocks.withColumn("_t", t).filter(F.length("_t") > 0).withColumn("body", (kind == "table_like") | looks_like_table_body(F.col("_t")))
     section = F.coalesce(F.nullif(strip(text_or_empty(F.col("section_path"))), F.lit("")), F.lit("Document"))
-    w = Window.partitionBy("paper_id").orderBy("pos")
-    return block_offsets(
-        kept.select(
-            "paper_id", (F.row_number().over(w) - 1).alias("idx"), F.when(kind.isin("table_caption", "table_like") | F.col("body"), F.col("_t")).otherwise(squeeze(F.col("_t"))).alias("text"),
-            F.when(kind == "", "paragraph").otherwise(kind).alias("block_type"), section.alias("section_id"), "page_number", "heading_level", "body",
-        ),
-        "paper_id", ["idx"], "text",
-    )
+    body = F.when(kind.isin("table_caption", "table_like") | F.col("body"), F.col("_t")).otherwise(squeeze(F.col("_t")))
+    rows = kept.select("paper_id", "pos", body.alias("text"), F.when(kind == "", "paragraph").otherwise(kind).alias("block_type"), section.alias("section_id"), "page_number", "heading_level", "body")
+    return places(rows, "paper_id", ["pos"], "idx", {"char_start": F.length("text").cast("long") + 2}).drop("pos")
 
 
 def _context(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +127,9 @@ def chunk_papers(blocks: DataFrame, titles: DataFrame | None = None, size: int =
     dominant = (F.col("_h") > 0) & (F.col("_h") >= F.greatest(F.col("_l") * 2, F.lit(8)))
     child = F.when(dominant, min(size, max(int(size * 0.85), size - overlap, 320))).otherwise(min(size, max(min(size // 2, 500), 220)))
     b = b.join(lead.select("paper_id", dominant.alias("han_doc"), child.alias("child")), "paper_id", "left").fillna({"han_doc": False, "child": min(size, max(min(size // 2, 500), 220))})
-    w = Window.partitionBy("paper_id").orderBy("idx")
+    # neighbours are looked at in slices of the paper
+    w = Window.partitionBy("paper_id", "_slice").orderBy("idx")
+    b = sliced(b, "paper_id", "idx")
     b = b.withColumn("pair", (F.col("block_type") == "table_caption") & (F.lead("section_id").over(w) == F.col("section_id")) & F.coalesce(F.lead("body").over(w), F.lit(False)))
     b = b.withColumn("tail", F.coalesce(F.lag("pair").over(w), F.lit(False)))
     kind = (
@@ -141,9 +138,9 @@ def chunk_papers(blocks: DataFrame, titles: DataFrame | None = None, size: int =
     )
     b = b.withColumn("kind", kind)
     breaks = (F.col("kind") != "plain") | (F.lag("kind", 1, "x").over(w) != "plain") | (F.lag("section_id", 1, "").over(w) != F.col("section_id"))
-    b = b.withColumn("run", F.sum(breaks.cast("int")).over(w))
-
-    b = cut(b)  # ordered once; five branches read it
+    b = b.withColumn("_break", breaks).filter(~F.col("_aside"))
+    # a run is named by the place it begins at
+    b = cut(last_before(b, "paper_id", "idx", F.col("_break"), "run").drop("_break", "_slice", "_aside"))  # ordered once; five branches read it
     # plain runs: only lengths are collected
     lengths = b.filter("kind = 'plain'").groupBy("paper_id", "run").agg(F.array_sort(F.collect_list(F.struct("idx", F.length("text").alias("n")))).alias("x"), F.max("child").alias("child"))
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("key"), F.array().cast("array<struct<idx:int,key:int>>").alias("out"))
@@ -177,8 +174,7 @@ def chunk_papers(blocks: DataFrame, titles: DataFrame | None = None, size: int =
         .otherwise(F.array(F.array_join(texts, "\n\n")))
     )
     kids = members.withColumn("_c", contents).select("*", F.posexplode("_c").alias("piece", "body_text")).drop("t", "_c")
-    order = Window.partitionBy("paper_id").orderBy("key", "piece")
-    kids = kids.withColumn("chunk_index", F.row_number().over(order) - 1)
+    kids = places(kids, "paper_id", ["key", "piece"], "chunk_index")
 
     # context: narrow rows of one section at a time
     wants = kids.filter(F.col("structured") | ~F.col("han_doc")).select("paper_id", "section_id", F.lit(1).alias("kind"), "key", F.col("first_block").alias("lo"), F.col("last_block").alias("hi"), F.lit(0).alias("n")).distinct()
@@ -194,9 +190,7 @@ def chunk_papers(blocks: DataFrame, titles: DataFrame | None = None, size: int =
         F.min("page_number").alias("page_from"), F.max("page_number").alias("page_to"), F.array_sort(F.collect_set("block_type")).alias("block_types"),
     )
     counts = kids.groupBy("paper_id").agg(F.count("*").alias("_n"))
-    parents = parents.join(counts, "paper_id").withColumn(
-        "chunk_index", (F.col("_n") + F.row_number().over(Window.partitionBy("paper_id").orderBy("first_block")) - 1).cast("int")
-    )
+    parents = places(parents, "paper_id", ["first_block"], "_at").join(counts, "paper_id").withColumn("chunk_index", (F.col("_n") + F.col("_at")).cast("int")).drop("_at")
     above = parents.select("paper_id", "section_id", F.substring("body_text", 1, 2200).alias("parent_text"))
     kids = kids.join(lent, ["paper_id", "key"], "left").join(above, ["paper_id", "section_id"], "left").withColumn("chunk_role", F.lit("child"))
     parents = parents.withColumns({"chunk_role": F.lit("parent"), "supporting_context": F.lit(None).cast("string"), "parent_text": F.lit(None).cast("string")})

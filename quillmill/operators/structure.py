@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import compact_lines, heading_line, strip, table_text, text_or_empty
+from quillmill.operators.sequence import places
 
 # Parts of a layout label and the block type they stand for, the first that fits.
 LABELS = (
@@ -79,7 +80,7 @@ def merge_structure(blocks: DataFrame, tables: DataFrame | None = None, pictures
         every = every.unionByName(pictures.select(*base, F.lit(2).alias("g"), F.col("picture_index").alias("i"), F.lit("picture").alias("kind"), text.alias("text"), F.lit("figure_caption").alias("block_type")))
     kept = every.filter(F.length(strip(text_or_empty(F.col("text")))) > 0)
     order = [F.col("reading_order").isNull().cast("int"), F.coalesce("reading_order", "page_number", F.lit(0)), "g", "i"]
-    return kept.withColumn("pos", F.row_number().over(Window.partitionBy("paper_id").orderBy(*order)) - 1).select("paper_id", "pos", "kind", "text", "block_type", *base[2:])
+    return places(kept, "paper_id", order, "pos").select("paper_id", "pos", "kind", "text", "block_type", *base[2:])
 
 
 def render(parts: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as X
-from quillmill.plans import sql
 from quillmill.operators import catalog, chunking, evaluate, evidence, retrieval, structure
+from quillmill.plans import sql
 from quillmill.session import read_table, shared_folder
 from quillmill.sources.plugins import embed_with, rerank_with
 from quillmill.streaming import events as streams
@@ -208,8 +208,7 @@ ORDERED = "(SELECT DISTINCT id, paper_id, block_index, text, block_type, section
 )
 def block_offsets(s: SparkSession, d: str) -> DataFrame:
     b = _blocks(s, d).filter("length(trim(coalesce(text, ''))) > 0")
-    w = Window.partitionBy("paper_id").orderBy("block_index", "id")
-    return chunking.block_offsets(b, "paper_id", ["block_index", "id"], "text").select("id", (F.row_number().over(w) - 1).alias("pos"), "char_start")
+    return chunking.block_offsets(b, "paper_id", ["block_index", "id"], "text").select("id", "pos", "char_start")
 
 
 @query("SELECT DISTINCT id, CASE WHEN regexp_matches(docling_label, 'section|heading|title', 'i') THEN 'heading' WHEN docling_label ILIKE '%table%' THEN 'table_like' WHEN regexp_matches(docling_label, 'picture|figure', 'i') THEN 'figure_caption' WHEN docling_label ILIKE '%list%' THEN 'list' ELSE 'paragraph' END AS block_type FROM paper_document_blocks")

@@ -95,8 +95,10 @@ def test_section_stack(spark):
 
 
 def test_structure(spark):
-    df = spark.createDataFrame([("section_header",), ("Table",), ("list_item",), ("caption",), (None,), ("text",), ("page_header",)], "l string")
-    assert [r[0] for r in df.select(structure.block_type(F.col("l"))).collect()] == ["heading", "table_like", "list", "figure_caption", "paragraph", "paragraph", "paragraph"]
+    df = spark.createDataFrame([("section_header",), ("Table",), ("list_item",), ("caption",), (None,), ("text",), ("page_header",), ("heading",), ("title",), ("picture",), ("figure_caption",)], "l string")
+    assert [r[0] for r in df.select(structure.block_type(F.col("l"))).collect()] == [
+        "heading", "table_like", "list", "paragraph", "paragraph", "paragraph", "paragraph", "heading", "heading", "figure_caption", "figure_caption",
+    ]
     box = "struct<x0:double,y0:double,x1:double,y1:double>"
     items = spark.createDataFrame([(1, 1, 0, "table", (0.0, 0.0, 2.0, 2.0)), (1, 1, 1, "table", (0.0, 0.0, 2.0, 2.0)), (1, 2, 2, "picture", None)], f"doc long, page_number int, item_index int, kind string, bbox {box}")
     rows = spark.createDataFrame([(1, 1, 5, "table", (1.0, 1.0, 2.0, 2.0)), (1, 1, 6, "text", (0.0, 0.0, 2.0, 2.0)), (1, 2, 7, "picture", None)], f"doc long, page_number int, row_index int, kind string, bbox {box}")
