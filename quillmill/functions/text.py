@@ -303,7 +303,8 @@ def json_object(text: Column) -> Column:
 
 
 def png_data_url(image: Column) -> Column:
-    return F.concat(F.lit("data:image/png;base64,"), F.base64(image))
+    """Data address of an image, on one line."""
+    return F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(image), r"\s+", ""))
 
 
 @F.pandas_udf(T.StringType())

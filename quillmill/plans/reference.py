@@ -281,11 +281,13 @@ def extraction_counters(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT id, length(regexp_replace(text, '[^\\x{FF01}-\\x{FF5E}]', '', 'g')) AS fullwidth_ascii_count, length(regexp_replace(text, '[^\\x{FF10}-\\x{FF19}]', '', 'g')) AS fullwidth_digit_count, length(regexp_replace(text, '[^\\x{3000}]', '', 'g')) AS fullwidth_space_count FROM (SELECT DISTINCT id, text FROM ocr_text_results WHERE text IS NOT NULL)"
+    "WITH t AS (SELECT DISTINCT id, text FROM ocr_text_results WHERE text IS NOT NULL), n AS (SELECT id, length(regexp_replace(text, '[^\\x{FF01}-\\x{FF5E}]', '', 'g')) AS a, length(regexp_replace(text, '[^\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}]', '', 'g')) AS l, "
+    "length(regexp_replace(text, '[^\\x{FF10}-\\x{FF19}]', '', 'g')) AS g, length(regexp_replace(text, '[^\\x{3000}]', '', 'g')) AS s FROM t) SELECT id, a AS fullwidth_ascii_count, l AS fullwidth_latin_count, g AS fullwidth_digit_count, a - l - g AS fullwidth_ascii_punctuation_count, s AS fullwidth_space_count FROM n"
 )
 def ocr_fold_counts(s: SparkSession, d: str) -> DataFrame:
     t = R(s, d, "ocr_text_results").select("id", "text").distinct().filter("text IS NOT NULL").select("id", X.fullwidth_counts(F.col("text")).alias("c"))
-    return t.select("id", *[F.col(f"c.{x}").cast("long").alias(x) for x in ("fullwidth_ascii_count", "fullwidth_digit_count", "fullwidth_space_count")])
+    names = ("fullwidth_ascii_count", "fullwidth_latin_count", "fullwidth_digit_count", "fullwidth_ascii_punctuation_count", "fullwidth_space_count")
+    return t.select("id", *[F.col(f"c.{x}").cast("long").alias(x) for x in names])
 
 
 @query(sql.FOLDED)
