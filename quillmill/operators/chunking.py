@@ -206,6 +206,12 @@ def chunk_papers(blocks: DataFrame, titles: DataFrame | None = None, size: int =
     ).select("paper_id", "chunk_index", "chunk_role", "section_id", "content", "body_text", "context_header", *cols[5:7], "token_count", *cols[7:])
 
 
+def without_structure(papers: DataFrame, parts: DataFrame) -> DataFrame:
+    """paper_id and error of the papers that cannot be chunked because they have no text; the check before `chunk_papers`, which gives no rows for them."""
+    some = parts.filter(F.length(strip(text_or_empty(F.col("text")))) > 0).select("paper_id").distinct()
+    return papers.select("paper_id").distinct().join(some, "paper_id", "left_anti").withColumn("error", F.lit("Structured blocks unavailable for chunking"))
+
+
 def link_parents(chunks: DataFrame) -> DataFrame:
     """Children with parent_index, the chunk_index of the parent of their section (null without one)."""
     parents = chunks.filter("chunk_role = 'parent'").select("paper_id", "section_id", F.col("chunk_index").alias("parent_index"))

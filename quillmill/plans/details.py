@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as X
 from quillmill.functions import vector as V
-from quillmill.operators import catalog, evaluate, retrieval, structure
+from quillmill.operators import catalog, chunking, evaluate, retrieval, structure
 from quillmill.plans import sql
 from quillmill.plans.reference import LABELLED, R, _gold, _labelled, query
 
@@ -206,3 +206,11 @@ def stage_precedence(s: SparkSession, d: str) -> DataFrame:
         "sparse": F.nullif(i % 23, F.lit(0)), "dense": F.nullif(i % 19, F.lit(0)), "fused": F.when(i % 5 < 2, i % 29 + 1), "reranked": F.when(i % 7 == 0, i % 31 + 1), "gold_chunks": i % 3 + 1,
     })
     return evaluate.failure_stage(ranks).select("q_id", "stage")
+
+
+@query(
+    f"SELECT id AS paper_id, 'Structured blocks unavailable for chunking' AS error FROM papers p WHERE NOT EXISTS (SELECT 1 FROM paper_document_blocks b WHERE b.paper_id = p.id AND length({sql.stripped('b.text')}) > 0)"
+)
+def papers_without_structure(s: SparkSession, d: str) -> DataFrame:
+    papers = R(s, d, "papers").select(F.col("id").alias("paper_id"))
+    return chunking.without_structure(papers, R(s, d, "paper_document_blocks").select("paper_id", "text"))
