@@ -213,15 +213,19 @@ def caption_only(block_types: Column, body: Column) -> Column:
     return (F.size(low) > 0) & (F.size(F.array_except(low, F.array(F.lit("table_caption")))) == 0) & ~looks_like_table_body(body)
 
 
+# Labels of the lines of a chunk's header and payload.
+TITLE_LABEL, SECTION_LABEL, PAGE_LABEL, CONTEXT_LABEL, PARENT_LABEL = "论文标题: ", "章节: ", "页码: ", "上下文补充: ", "章节上下文: "
+
+
 def context_header(title: Column, section: Column, page_from: Column, page_to: Column) -> Column:
     """Title, section and page lines of a chunk; missing ones are left out."""
     t, s = strip(text_or_empty(title)), strip(text_or_empty(section))
     pages = F.when(page_to.isNotNull() & (page_to != page_from), F.concat_ws("-", page_from, page_to)).otherwise(page_from.cast("string"))
     return F.concat_ws(
         "\n",
-        F.when(F.length(t) > 0, F.concat(F.lit("论文标题: "), t)),
-        F.when(F.length(s) > 0, F.concat(F.lit("章节: "), s)),
-        F.when(page_from.isNotNull(), F.concat(F.lit("页码: "), pages)),
+        F.when(F.length(t) > 0, F.concat(F.lit(TITLE_LABEL), t)),
+        F.when(F.length(s) > 0, F.concat(F.lit(SECTION_LABEL), s)),
+        F.when(page_from.isNotNull(), F.concat(F.lit(PAGE_LABEL), pages)),
     )
 
 
@@ -232,10 +236,10 @@ def chunk_payload(header: Column, body: Column, content: Column, context: Column
     parts = [h, b]
     if context is not None:
         c = F.nullif(strip(text_or_empty(context)), F.lit(""))
-        parts.append(F.when(c.isNotNull(), F.concat(F.lit("上下文补充: "), c)))
+        parts.append(F.when(c.isNotNull(), F.concat(F.lit(CONTEXT_LABEL), c)))
     if parent is not None:
         p = F.nullif(strip(text_or_empty(parent)), F.lit(""))
-        parts.append(F.when(p.isNotNull(), F.concat(F.lit("章节上下文: "), p)))
+        parts.append(F.when(p.isNotNull(), F.concat(F.lit(PARENT_LABEL), p)))
     joined = F.concat_ws("\n\n", *parts)
     return F.when(F.length(joined) > 0, joined).otherwise(text_or_empty(content))
 
