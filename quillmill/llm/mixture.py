@@ -30,7 +30,8 @@ def mix_sources(
 ) -> DataFrame:
     """One row per document of the mixture: row_id, source, tokens, uses, cut_tokens, tokens_used.
 
-    `targets` has source, target_share and max_repeats; shares are brought to a sum of 1. Each
+    `targets` has source, target_share and max_repeats; shares are brought to a sum of 1, sources without
+    documents included: what they lack is not given to others, so the shares reached are those of the documents used. Each
     source gets round-robin epochs in hash order: `uses` whole uses, and `cut_tokens` tokens of
     one more use for the document at the exact cut (0 for the others). Without `total_tokens`
     the total is the largest at which every share can be met. With a larger one, short sources
