@@ -14,7 +14,7 @@ from quillmill.llm.neighbours import mutual_pairs, similar_vectors, unit_vectors
 from quillmill.llm.pairs import flag_read, read_answers
 from quillmill.llm.tokens import encode_texts
 from quillmill.llm.quality import text_kind, text_quality
-from quillmill.llm.scans import repair_pages, scan_defects
+from quillmill.llm.scans import repair_texts, scan_defects
 from quillmill.session import cut, read_table
 
 
@@ -29,8 +29,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as continuous paragraphs."""
-    return repair_pages(read_table(spark, sf_dir, "paper_document_pages"), _titles(spark, sf_dir))
+    """Every page and every block as continuous paragraphs; copies count once."""
+    blocks = read_table(spark, sf_dir, "paper_document_blocks").select("id", "page_id", "block_index", "text").distinct()
+    return repair_texts(read_table(spark, sf_dir, "paper_document_pages"), blocks, _titles(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -676,6 +676,31 @@ def page_furniture(read: DataFrame, titles: DataFrame | None = None) -> DataFram
     return every.groupBy("id").pivot("what", ["top_header", "bottom_header", "top_number", "bottom_number"]).agg(F.max("line"))
 
 
+def _pages_and_blocks(pages: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both as src, id, page_id, paper_id, page_number, block_index, text."""
+    kinds = pages.schema
+    whole = pages.select(F.lit("page").alias("src"), "id", F.col("id").alias("page_id"), "paper_id", "page_number", F.lit(0).alias("block_index"), "text")
+    cuts = blocks.select(F.lit("block").alias("src"), "id", "page_id", F.lit(None).cast(kinds["paper_id"].dataType).alias("paper_id"), F.lit(None).cast(kinds["page_number"].dataType).alias("page_number"), "block_index", "text")
+    return whole, cuts
+
+
+def _blocks_on_pages(cuts: DataFrame, found: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """(read blocks with the furniture of their page, is a block the first of it?, the last?); blocks without text have no place."""
+    ends, at = Window.partitionBy("page_id"), F.when(F.col("lines") > 0, F.col("block_index"))
+    placed = cuts.withColumns({"_low": F.min(at).over(ends), "_high": F.max(at).over(ends)})
+    return placed.join(found.withColumnRenamed("id", "page_id"), "page_id", "left"), F.col("block_index") == F.col("_low"), F.col("block_index") == F.col("_high")
+
+
+def _furniture_lines(first_ok: Column, last_ok: Column) -> tuple[Column, Column, Column, Column]:
+    """Is the first line a header, the last one, the first a page number, the last?"""
+    one = F.col("lines") == 1
+    top = first_ok & F.coalesce(F.col("first") == F.col("top_header"), F.lit(False)) | one & F.coalesce(F.col("first") == F.col("bottom_header"), F.lit(False))
+    bottom = last_ok & F.coalesce(F.col("last") == F.col("bottom_header"), F.lit(False))
+    top_no = first_ok & F.coalesce(F.col("first") == F.col("top_number"), F.lit(False))
+    bottom_no = last_ok & F.coalesce(F.col("last") == F.col("bottom_number"), F.lit(False))
+    return top, bottom, top_no, bottom_no
+
+
 def scan_defects(pages: DataFrame, blocks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """src (page, block), row_id, defect (hyphen, misread, header, page_no), one row per defect.
 
@@ -685,9 +710,8 @@ def scan_defects(pages: DataFrame, blocks: DataFrame, titles: DataFrame | None =
     words = cut(learn_words(pages))
     links = cut(link_misreadings(words))
     parts = reader_parts(words, links)
-    both = read_texts(pages.select(F.lit("page").alias("src"), "id", F.col("id").alias("page_id"), "paper_id", "page_number", F.lit(0).alias("block_index"), "text"), "text", words, links, parts, contexts=False)
-    cuts = blocks.select(F.lit("block").alias("src"), "id", "page_id", F.lit(None).cast(pages.schema["paper_id"].dataType).alias("paper_id"), F.lit(None).cast(pages.schema["page_number"].dataType).alias("page_number"), "block_index", "text")
-    both = cut(both.unionByName(read_texts(cuts, "text", words, links, parts, contexts=False)))
+    whole, cuts = _pages_and_blocks(pages, blocks)
+    both = cut(read_texts(whole, "text", words, links, parts, contexts=False).unionByName(read_texts(cuts, "text", words, links, parts, contexts=False)))
     each = both.select("src", "id", F.explode("breaks").alias("b")).select("src", "id", "b.*")
     broken = cut(decide_breaks(each, words, links))
     put_in = each.join(broken.filter("hyphen"), ["left", "right", "upper"]).select("src", "id", F.lit(True).alias("hyphen"))
@@ -702,10 +726,7 @@ def scan_defects(pages: DataFrame, blocks: DataFrame, titles: DataFrame | None =
 
     def rows(df: DataFrame, src: str, first_ok: Column, last_ok: Column) -> DataFrame:
         one = F.col("lines") == 1
-        top = first_ok & F.coalesce(F.col("first") == F.col("top_header"), F.lit(False)) | one & F.coalesce(F.col("first") == F.col("bottom_header"), F.lit(False))
-        bottom = last_ok & F.coalesce(F.col("last") == F.col("bottom_header"), F.lit(False))
-        top_no = first_ok & F.coalesce(F.col("first") == F.col("top_number"), F.lit(False))
-        bottom_no = last_ok & F.coalesce(F.col("last") == F.col("bottom_number"), F.lit(False))
+        top, bottom, top_no, bottom_no = _furniture_lines(first_ok, last_ok)
         aside = F.when(top | top_no | one & (bottom | bottom_no), F.col("wrong_first")).otherwise(0) + F.when((bottom | bottom_no) & ~one, F.col("wrong_last")).otherwise(0)
         wrong = F.col("wrong") > aside
         flags = F.array_compact(
@@ -715,29 +736,41 @@ def scan_defects(pages: DataFrame, blocks: DataFrame, titles: DataFrame | None =
         )
         return df.filter("lines > 0").select(F.lit(src).alias("src"), F.col("id").alias("row_id"), F.explode(flags).alias("defect"))
 
-    ends = Window.partitionBy("page_id")
-    placed = cuts.withColumns({"_low": F.min("block_index").over(ends), "_high": F.max("block_index").over(ends)})
-    placed = placed.join(found.withColumnRenamed("id", "page_id"), "page_id", "left")
     # a bare number inside a page is a cell, so blocks count at the ends of their page only
-    by_block = rows(placed, "block", F.col("block_index") == F.col("_low"), F.col("block_index") == F.col("_high"))
+    by_block = rows((placed := _blocks_on_pages(cuts, found))[0], "block", *placed[1:])
     by_page = rows(read.drop("page_id", "block_index").join(found, "id", "left"), "page", F.lit(True), F.lit(True))
     return by_page.unionByName(by_block).distinct()
 
 
 def repair_pages(pages: DataFrame, titles: DataFrame | None = None) -> DataFrame:
-    """id, repaired (STRING): furniture off, words whole and corrected, lines reflowed into paragraphs.
+    """id, repaired (STRING) of the pages, see repair_texts."""
+    return repair_texts(pages, None, titles).select("id", "repaired")
 
-    Null stays null, blank texts become empty.
+
+def repair_texts(pages: DataFrame, blocks: DataFrame | None, titles: DataFrame | None = None) -> DataFrame:
+    """src (page, block), id, repaired (STRING): furniture off, words whole and corrected, lines reflowed into paragraphs.
+
+    Null stays null, blank texts become empty, and so do blocks that hold nothing but furniture of their page. Copies stay copies.
     """
     words = cut(learn_words(pages))
     links = cut(link_misreadings(words))
-    base = pages.select("id", "paper_id", "page_number", "text")
+    base, cuts = _pages_and_blocks(pages, pages.limit(0).select("id", F.col("id").alias("page_id"), F.lit(0).alias("block_index"), "text") if blocks is None else blocks)
+    base = base.unionByName(cuts)
     read = cut(read_texts(base, "text", words, links))
-    found = cut(page_furniture(read.drop("suspects", "breaks", "sure"), titles))
-    each = read.select("id", F.explode("breaks").alias("b")).select("id", "b.*")
+    ends = read.drop("suspects", "breaks", "sure")
+    found = cut(page_furniture(ends.filter("src = 'page'"), titles))
+    keys = ["src", "id"]
+    each = read.select(*keys, F.explode("breaks").alias("b")).select(*keys, "b.*")
     broken = cut(decide_breaks(each, words, links))
-    signs = each.join(broken.filter("hyphen"), ["left", "right", "upper"]).groupBy("id").agg(F.collect_set(F.struct("left", "right")).alias("broken"))
-    chosen = judge_suspects(read, ["id"], broken, words, links).groupBy("id").agg(F.collect_set(F.struct("word", "right")).alias("links"))
+    signs = each.join(broken.filter("hyphen"), ["left", "right", "upper"]).groupBy(*keys).agg(F.collect_set(F.struct("left", "right")).alias("broken"))
+    chosen = judge_suspects(read, keys, broken, words, links).groupBy(*keys).agg(F.collect_set(F.struct("word", "right")).alias("links"))
+
+    def aside(df: DataFrame, first_ok: Column, last_ok: Column) -> DataFrame:
+        top, bottom, top_no, bottom_no = _furniture_lines(first_ok, last_ok)
+        return df.select(*keys, (top | top_no).alias("top"), (bottom | bottom_no).alias("bottom")).filter("top OR bottom")
+
+    off = aside(ends.filter("src = 'page'").join(found, "id"), F.lit(True), F.lit(True))
+    off = off.unionByName(aside(*_blocks_on_pages(ends.filter("src = 'block'"), found))).distinct()
 
     @F.pandas_udf(T.StringType())
     def body(text: pd.Series, top: pd.Series, bottom: pd.Series) -> pd.Series:
@@ -746,8 +779,8 @@ def repair_pages(pages: DataFrame, titles: DataFrame | None = None) -> DataFrame
             if t is not None:
                 lines = t.replace("\r\n", "\n").split("\n")
                 at = [i for i, x in enumerate(lines) if x.strip()]
-                drop = {at[0]} if at and a and lines[at[0]].strip() == a else set()
-                drop |= {at[-1]} if at and b and lines[at[-1]].strip() == b else set()
+                drop = {at[0]} if at and a else set()
+                drop |= {at[-1]} if at and b else set()
                 t = "\n".join(x for i, x in enumerate(lines) if i not in drop)
             out.append(t)
         return pd.Series(out, dtype=object)
@@ -766,6 +799,5 @@ def repair_pages(pages: DataFrame, titles: DataFrame | None = None) -> DataFrame
     def paragraphs(text: pd.Series) -> pd.Series:
         return text.map(reflow, na_action="ignore").astype(object)
 
-    joined = base.join(found, "id", "left").join(signs, "id", "left").join(chosen, "id", "left")
-    top, bottom = F.coalesce("top_header", "top_number"), F.coalesce("bottom_header", "bottom_number")
-    return joined.select("id", paragraphs(mend(body("text", top, bottom), "broken", "links")).alias("repaired"))
+    joined = base.select(*keys, "text").join(off, keys, "left").join(signs, keys, "left").join(chosen, keys, "left").fillna(False, ["top", "bottom"])
+    return joined.select(*keys, paragraphs(mend(body("text", "top", "bottom"), "broken", "links")).alias("repaired"))

@@ -262,3 +262,26 @@ def test_links_do_not_go_as_the_corpus_grows(spark):
     pages = lambda k: spark.createDataFrame([(i + 1000 * c, i, c + 1, t) for c in range(k) for i, t in enumerate(texts)], "id long, paper_id long, page_number int, text string")
     for k in (1, 12):
         assert "scssion" in {r["wrong"] for r in link_misreadings(learn_words(pages(k))).collect()}, k
+
+
+def test_blocks_are_repaired_like_their_pages(spark):
+    from quillmill.llm.queries import p1_repaired
+    from quillmill.llm.scans import repair_texts
+
+    pages, truth = _pages(spark)
+    blocks, want = [], {}
+    for p in pages.filter("id < 240").collect():
+        parts = p["text"].split("\n", 1) if "header" in truth[p["id"]] else ["", p["text"]]
+        number = parts[1].rsplit("\n\n", 1)[1:] if "page_no" in truth[p["id"]] else []
+        for k, x in enumerate([parts[0], parts[1].rsplit("\n\n", 1)[0] if number else parts[1], *number]):
+            if x:
+                blocks.append((p["id"] * 10 + k, p["id"], k, x))
+                want[p["id"] * 10 + k] = p["id"] if k == 1 else None
+    blocks += [(9000, 0, 7, None), (9001, 900, 0, " ")]
+    got = {(r["src"], r["id"]): r["repaired"] for r in repair_texts(pages, spark.createDataFrame(blocks, "id long, page_id long, block_index int, text string")).collect()}
+    assert len(got) == 243 + len(blocks) and got["block", 9000] is None and got["block", 9001] == ""
+    for i, page in want.items():
+        assert got["block", i] == (got["page", page] if page is not None else ""), i
+    queried = p1_repaired(spark, "/root/testdata/sf0.001").groupBy("src").count().collect()
+    kept = spark.read.parquet("/root/testdata/sf0.001/paper_document_blocks.parquet").distinct().count()
+    assert {r["src"]: r["count"] for r in queried}["block"] == kept
