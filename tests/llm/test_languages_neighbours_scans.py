@@ -285,3 +285,26 @@ def test_blocks_are_repaired_like_their_pages(spark):
     queried = p1_repaired(spark, "/root/testdata/sf0.001").groupBy("src").count().collect()
     kept = spark.read.parquet("/root/testdata/sf0.001/paper_document_blocks.parquet").distinct().count()
     assert {r["src"]: r["count"] for r in queried}["block"] == kept
+
+
+def test_long_texts_are_scored_in_parts():
+    """A text of any length takes a bounded part of the weights at once; the sums are those of one pass."""
+    from quillmill.llm import languages
+
+    class Weights:
+        def __init__(self, rows):
+            self.rows, self.shape, self.most = rows, rows.shape, 0
+
+        def take(self, at, axis):
+            self.most = max(self.most, len(at))
+            return self.rows.take(at, axis=axis)
+
+    r = random.Random(4)
+    text = " ".join("".join(r.choices("abcdeé.", k=6)) for _ in range(30_000))
+    weights = Weights(np.random.default_rng(1).integers(-8, 9, (languages.SIZE, 10)).astype(np.float32))
+    starts = np.array([2, 5, 32_767, 32_768, 32_769, 65_536, 180_000])
+    sums, letters, _ = languages.Decoder(weights).scores(text, starts)
+    grams = languages.trigrams(text)
+    for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(text)])):
+        assert (sums[k] == weights.rows[grams[a:b]].sum(axis=0)).all() and letters[k] == (grams[a:b] > 0).sum()
+    assert weights.most <= 1 << 15
