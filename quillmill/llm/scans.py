@@ -17,7 +17,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -51,8 +51,8 @@ AGREE = 0.25
 #: comes from pages with traces of print.
 TRACES, TRACES_MIXED, GRANTED = 0.55, 0.45, 4
 
-#: Words a worker holds before it hands its sums on.
-HELD_WORDS = 300_000
+#: Words a worker holds before it hands its sums on; words summed at once, whose arrays stay in the processor's cache.
+HELD_WORDS, PART_WORDS = 300_000, 10_000
 #: Bits of the filter of linked words: BITS each, MOST_BITS (64 MB) at most; more links only let more words through to the join.
 BITS, MOST_BITS = 24, 1 << 29
 #: Words a reader remembers its answers for.
@@ -120,6 +120,8 @@ def glyph_sources(word: str) -> set[str]:
     return found
 
 
+# bytes of cp1252 that stand in words; what a word may not hold becomes a space
+_CP1252 = bytes(b if (c := bytes([b]).decode("cp1252", "replace")) and _TOKEN.fullmatch(c) else 32 for b in range(256))
 _JOINT = re.compile(r"-(?<=[^\W\d_]-)(?=[^\W\d_])")
 _APART = {i: " " for i in range(128) if not chr(i).isalnum()}
 
@@ -134,8 +136,13 @@ def _left_word(text: str, end: int) -> str:
 
 def words_of(low: str) -> list[str]:
     """Words of a text in lower case: letters and digits, with exclamation marks that a misreading may have put in."""
-    if "!" not in low and low.isascii():
-        return low.translate(_APART).split()
+    if "!" not in low:
+        if low.isascii():
+            return low.translate(_APART).split()
+        try:
+            return low.encode("cp1252").translate(_CP1252).decode("cp1252").split()
+        except UnicodeEncodeError:
+            pass
     return _TOKEN.findall(low)
 
 
@@ -170,10 +177,11 @@ def learn_words(pages: DataFrame, text: str = "text") -> DataFrame:
         han_traced: Counter = Counter()
 
         def fresh() -> None:
-            nonlocal ids, n, traced, vectors, signs, known
+            nonlocal ids, n, traced, vectors, signs, known, total
             ids = defaultdict(count(1).__next__, {"": 0})
             n, traced = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
             vectors, signs, known = np.zeros((1 << 12, DIMS), np.float32), np.zeros((1 << 12, DIMS), np.float32), 0
+            total = 0
 
         def held() -> Iterator[pd.DataFrame]:
             words = [(x, i) for x, i in ids.items() if i and not x.isdigit()]
@@ -186,37 +194,41 @@ def learn_words(pages: DataFrame, text: str = "text") -> DataFrame:
                 han.clear(), han_traced.clear()
 
         ids = n = traced = vectors = signs = None
-        known = 0
+        known = total = 0
         fresh()
 
-        def add(tokens: list[str], marks: list[int]) -> None:
-            nonlocal n, traced, vectors, signs, known
+        def add(tokens: list[str], marks: list[int], sizes: list[int]) -> None:
+            """Only the words of this part are touched, so its cost does not grow with the words held."""
+            nonlocal n, traced, vectors, signs, known, total
             w = np.array(list(map(ids.__getitem__, tokens)), np.int64)
             while len(ids) > len(n):
                 n, traced = np.concatenate((n, n * 0)), np.concatenate((traced, traced * 0))
                 vectors, signs = np.concatenate((vectors, vectors * 0)), np.concatenate((signs, signs * 0))
-            if len(ids) > known:
-                for word, i in list(ids.items())[known:]:
-                    if i:
-                        signs[i] = _signature(word)
-                known = len(ids)
-            n[: len(ids)] += np.bincount(w, minlength=len(ids))
-            traced[: len(ids)] += np.bincount(w, weights=np.array(marks), minlength=len(ids)).astype(np.int64)
-            total = max(int(n.sum()), 1)
-            weight = np.minimum(1.0, np.sqrt(FREQUENT * total / np.maximum(n[: len(ids)], 1))).astype(np.float32)
-            weight[0] = 0
-            s = signs[w] * weight[w, None]
+            for word, i in islice(reversed(ids.items()), len(ids) - known):
+                if i:
+                    signs[i] = _signature(word)
+            known = len(ids)
+            order = np.argsort(w, kind="stable")
+            sorted_w = w[order]
+            first = np.flatnonzero(np.r_[True, sorted_w[1:] != sorted_w[:-1]])
+            here = sorted_w[first]
+            n[here] += np.diff(np.r_[first, len(w)])
+            traced[here] += np.add.reduceat(np.repeat(np.array(marks, np.int64), sizes)[order], first)
+            total += len(w)
+            weight = np.minimum(1.0, np.sqrt(FREQUENT * total / n[here])).astype(np.float32)
+            weight[here == 0] = 0
+            weights = np.empty(len(w), np.float32)
+            weights[order] = np.repeat(weight, np.diff(np.r_[first, len(w)]))
+            s = signs[w] * weights[:, None]
             around = np.zeros_like(s)
             for d in (1, 2):
                 around[d:] += s[:-d]
                 around[:-d] += s[d:]
-            order = np.argsort(w, kind="stable")
-            sorted_w = w[order]
-            first = np.flatnonzero(np.r_[True, sorted_w[1:] != sorted_w[:-1]])
-            vectors[sorted_w[first]] += np.add.reduceat(around[order], first, axis=0)
+            vectors[here] += np.add.reduceat(around[order], first, axis=0)
 
         tokens: list[str] = []
         marks: list[int] = []
+        sizes: list[int] = []
         for b in batches:
             for t in b["text"]:
                 broken = line_breaks(t)
@@ -235,15 +247,16 @@ def learn_words(pages: DataFrame, text: str = "text") -> DataFrame:
                     han_traced.update(windows)
                 tokens += here
                 tokens += "", ""
-                marks += [trace] * (len(here) + 2)
-                if len(tokens) > 200_000:
-                    add(tokens, marks)
-                    tokens, marks = [], []
+                marks.append(trace)
+                sizes.append(len(here) + 2)
+                if len(tokens) > PART_WORDS:
+                    add(tokens, marks, sizes)
+                    tokens, marks, sizes = [], [], []
                     if len(ids) > HELD_WORDS:  # sums add up, so a full table is handed on
                         yield from held()
                         fresh()
         if tokens:
-            add(tokens, marks)
+            add(tokens, marks, sizes)
         yield from held()
 
     rows = pages.filter(F.col(text).isNotNull()).select(F.col(text).alias("text")).distinct().mapInPandas(partial, "word string, n long, traced long, v array<float>")
@@ -332,6 +345,8 @@ class Suspects:
         return all(self.bits[x >> 3] >> (x & 7) & 1 for x in _places(word, self.n)) or _figure(word)
 
     def among(self, words: list[str]) -> set[str]:
+        if self.clean.issuperset(words):
+            return set()
         odd = set(words) - self.clean
         found = odd & self.known
         for w in odd - found:

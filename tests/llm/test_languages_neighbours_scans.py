@@ -308,3 +308,19 @@ def test_long_texts_are_scored_in_parts():
     for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(text)])):
         assert (sums[k] == weights.rows[grams[a:b]].sum(axis=0)).all() and letters[k] == (grams[a:b] > 0).sum()
     assert weights.most <= 1 << 15
+
+
+def test_words_are_cut_and_summed_in_parts(spark, monkeypatch):
+    """Texts of cp1252 are cut without the pattern; the size of the parts changes no count."""
+    from quillmill.llm import scans
+
+    texts = ["die größe »über« 3 cm² – l’été_x, µm½ “œuvre”\xa0né", "αβ größe", "!ch b!n größe", "plain text, 5-7", ""]
+    want = [scans._TOKEN.findall(x) for x in texts]
+    assert [scans.words_of(x) for x in texts] == want
+    pages, _ = _pages(spark)
+    counts = lambda: sorted((r["word"], r["n"], r["traced"]) for r in learn_words(pages).collect())
+    one = counts()
+    monkeypatch.setattr(scans, "PART_WORDS", 7)
+    assert counts() == one
+    monkeypatch.setattr(scans, "_TOKEN", None)
+    assert scans.words_of(texts[0]) == want[0]
