@@ -484,10 +484,11 @@ def reflow(text: str) -> str:
     return "\n\n".join(out)
 
 
+# page numbers have as many digits as the pages of a paper need; nine fit an INT
 _PAGE_WORD = r"(?:p|pp|page|seite|s|página|pág|pag|p\.|第)\.?\s*"
-_NUMBER_LINE = rf"(?i)^[\[(·•\-–—~*\s]*(?:{_PAGE_WORD})?(\d{{1,4}})\s*(?:页|頁)?(?:\s*(?:of|/|von|de|sur|共)\s*\d{{1,4}}\s*(?:页|頁)?)?[\])·•\-–—~*\s]*$"
+_NUMBER_LINE = rf"(?i)^[\[(·•\-–—~*\s]*(?:{_PAGE_WORD})?(\d{{1,9}})\s*(?:页|頁)?(?:\s*(?:of|/|von|de|sur|共)\s*\d{{1,9}}\s*(?:页|頁)?)?[\])·•\-–—~*\s]*$"
 _ROMAN_LINE = r"^[\[(·\-–—\s]*[ivxl]{1,6}[\])·\-–—\s]*$"
-_LEAD, _TRAIL = r"^\s*(\d{1,4})(?:\s{2,}|\s*[|·]\s*)(?=\S)", r"(?<=\S)(?:\s{2,}|\s*[|·]\s*)(\d{1,4})\s*$"
+_LEAD, _TRAIL = r"^\s*(\d{1,9})(?:\s{2,}|\s*[|·]\s*)(?=\S)", r"(?<=\S)(?:\s{2,}|\s*[|·]\s*)(\d{1,9})\s*$"
 _NO_HEADER = r"^(\d+(\.\d+)+\.?\s|\d+\.?[ ][A-ZÀ-Þ][a-zß-ÿ]+\b(?!.*\s{2})|(?i:figure|fig|table|tab|tabelle|abbildung|abb|tableau|tabla|figura)\.?\s*\d|[表图]\s*\d)"
 
 

@@ -324,3 +324,20 @@ def test_words_are_cut_and_summed_in_parts(spark, monkeypatch):
     assert counts() == one
     monkeypatch.setattr(scans, "_TOKEN", None)
     assert scans.words_of(texts[0]) == want[0]
+
+
+@pytest.mark.parametrize("pages_before", [0, 9_990, 612_000])
+def test_numbers_of_long_papers(spark, pages_before):
+    """A paper of any length: numbers alone, inside a header, with a form; headers are the same whatever number stands in them."""
+    shapes = ["{}  Annals of Small Things", "Annals of Small Things | {}", "Annals of Small Things  {}", "", "", ""]
+    ends = ["", "", "", "{}", "– {} –", "Page {} of 700000"]
+    rows = []
+    for i in range(24):
+        n = pages_before + i + 1
+        rows.append((i, 1, n, "\n\n".join(x for x in (shapes[i % 6].format(n), "the sample was small and the estimates should be\nread with care before the second session", ends[i % 6].format(n)) if x)))
+    pages = spark.createDataFrame(rows, "id long, paper_id long, page_number int, text string")
+    blocks = pages.select("id", F.col("id").alias("page_id"), F.lit(0).alias("block_index"), "text")
+    got: dict = {}
+    for r in scan_defects(pages, blocks).collect():
+        got.setdefault((r["src"], r["row_id"]), set()).add(r["defect"])
+    assert got == {(src, i): {"header", "page_no"} if i % 6 < 3 else {"page_no"} for src in ("page", "block") for i in range(24)}
