@@ -52,8 +52,8 @@ def _maybe() -> frozenset:
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[re.Pattern, frozenset]:
-    """(pattern of an unstable run, characters that stay as they are)."""
+def _tables() -> tuple[re.Pattern, frozenset, re.Pattern]:
+    """(pattern of an unstable run, characters that stay as they are, pattern of a run in texts of the first plane, which is one look-up a sign)."""
     kept, unstable = set(), []
     for cp in range(0x80, sys.maxunicode + 1):
         if 0x3400 <= cp <= 0x9FFF or 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF or 0x20000 <= cp <= 0x2F7FF or cp >= 0x30000 and not 0xE0000 <= cp < 0xE1000:
@@ -66,11 +66,11 @@ def _tables() -> tuple[re.Pattern, frozenset]:
     runs, start = [], None
     for a, b in zip(unstable, unstable[1:] + [-1]):
         start = a if start is None else start
-        if b != a + 1:
+        if b != a + 1 or a == 0xFFFF:
             runs.append((start, a))
             start = None
-    cls = "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in runs)
-    return re.compile(f"[{cls}\\t\\x0b\\x0c]+"), frozenset(kept)
+    every, plane = (re.compile("[" + "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in runs if b <= most) + r"\t\x0b\x0c]+") for most in (sys.maxunicode, 0xFFFF))
+    return every, frozenset(kept), plane
 
 
 @lru_cache(maxsize=200_000)
@@ -83,7 +83,7 @@ def _segment(s: str) -> str:
 
 
 _WORD = re.compile(r"[^\W\d_]+")
-_FOREIGN = re.compile("[\u0370-\u058f\u0251\u0261]")
+_FOREIGN, _BEYOND = re.compile("[\u0370-\u058f\u0251\u0261]"), re.compile("[\U00010000-\U0010ffff]")
 
 
 def canonical(text: str) -> str:
@@ -97,7 +97,7 @@ def canonical(text: str) -> str:
     if text.isascii():
         return re.sub(r"[\t\x0b\x0c]", " ", text)
     parts, done = [], 0
-    for m in _tables()[0].finditer(text):
+    for m in _tables()[0 if _BEYOND.search(text) else 2].finditer(text):
         start, end = m.span()
         first = text[start]
         if start > done and (unicodedata.combining(first) or first in _maybe() or _INVISIBLE.match(first)):
@@ -105,8 +105,16 @@ def canonical(text: str) -> str:
         parts += text[done:start], _segment(text[start:end])
         done = end
     out = "".join((*parts, text[done:]))
-    if _FOREIGN.search(out):
-        out = _WORD.sub(lambda m: _word(m.group()), out)
+    parts, done = [], 0
+    for m in _FOREIGN.finditer(out):
+        if m.start() >= done:  # only the words that hold such a letter are looked at
+            start = m.start()
+            while start > done and _WORD.match(out[start - 1]):
+                start -= 1
+            end = word.end() if (word := _WORD.match(out, start)) else start
+            parts += out[done:start], _word(out[start:end])
+            done = end
+    out = "".join((*parts, out[done:]))
     for h in HYPHENS:
         out = out.replace(h, "-")
     return out

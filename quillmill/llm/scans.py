@@ -17,14 +17,16 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count, islice
+from itertools import chain, count, filterfalse, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillmill.llm.glyphs import canonical
 from quillmill.session import cut
@@ -63,14 +65,15 @@ FREQUENT = 1e-3
 _ODD_CLASS = "̀-ͯͰ-ΰγ-֏​-‏⁠﻿ﬀ-ﬆ０-ｚ⼀-⿟  -  "
 _UNUSUAL, _WIDE = re.compile(f"[{_ODD_CLASS}]"), re.compile(f"[{_ODD_CLASS}一-鿿]")
 _TOKEN = re.compile(r"!?[^\W_一-鿿]+(?:![^\W_一-鿿]+)*")
-# starts with the signs, so that the search leaps from one to the next
-_SIGN = re.compile(r"[-¬\xad‐‑][ \t]*\r?\n\s*(?=[^\W\d_])")
-_LEFT, _RIGHT = re.compile(r"[^\W\d_]+[ \t]*$"), re.compile(r"[^\W\d_]+")
+# the second leaps from one line end to the next; a blank before one asks for the first. _LEFT reads backwards
+_SIGN, _LINE_END = re.compile(r"[-¬\xad‐‑][ \t]*\r?\n\s*(?=[^\W\d_])"), re.compile(r"\n(?<=[-¬\xad‐‑ \t\r]\n)\s*(?=[^\W\d_])")
+_LEFT, _RIGHT = re.compile(r"\n?[ \t]*([^\W\d_]+)"), re.compile(r"[^\W\d_]+")
 _TRACE = re.compile(r"[015!9](?<=[^\W\d_].)[^\W\d_]")
 _NUMBERISH = re.compile(r"^(?=.*\d)[\dlios]*[lios][\dlios]*$")
 _LATIN_IN_HAN = re.compile(r"(?<=[A-Za-z])\r?\n(?=[a-z])")
 _MOSTLY_HAN = re.compile(r"[一-鿿][^\n]{0,40}[一-鿿][^\n]{0,40}[一-鿿]")
 _HAN_GAP = re.compile(r"(?<=[一-鿿，。、；：（）])\r?\n(?=[一-鿿，。、；：（）])")
+_HAN_END = re.compile(r"\n(?<=[一-鿿，。、；：（）]\n)(?=[一-鿿，。、；：（）])")
 
 _FROM_MISREAD: dict[str, list[str]] = {}
 for _p in GLYPH_EDITS.split():
@@ -80,18 +83,21 @@ _TWINS: dict[str, set[str]] = {}
 for _p in HAN_PAIRS:
     _TWINS.setdefault(_p[0], set()).add(_p[1])
     _TWINS.setdefault(_p[1], set()).add(_p[0])
-_TWIN = re.compile(f"[{''.join(_TWINS)}]")
+_TWIN, _NOT_HAN = re.compile(f"[{''.join(_TWINS)}]"), re.compile("[^一-鿿]+")
 _MIS = sorted(_FROM_MISREAD, key=len, reverse=True)
 
 
 def line_breaks(text: str) -> list[tuple[int, int, int, str, str, str]]:
     """(start of the left part, its end, start of the right part, left, sign, right) of words broken at line ends."""
     out = []
-    for m in _SIGN.finditer(text):
-        left = _LEFT.search(text, max(0, m.start() - 60), m.start())
+    places = [(m.start() - 1, m.end()) for m in _LINE_END.finditer(text)]
+    if any(text[sign] in " \t\r" for sign, _ in places):
+        places = [m.span() for m in _SIGN.finditer(text)]
+    for sign, right in places:
+        left = _LEFT.match(text[max(0, sign - 60) : sign][::-1])
         if left:
-            word = left.group().rstrip()
-            out.append((left.start(), left.start() + len(word), m.end(), word, m.group()[0], _RIGHT.match(text, m.end()).group()))
+            start, end = sign - left.end(1), sign - left.start(1)
+            out.append((start, end, right, text[start:end], text[sign], _RIGHT.match(text, right).group()))
     return out
 
 
@@ -120,10 +126,21 @@ def glyph_sources(word: str) -> set[str]:
     return found
 
 
-# bytes of cp1252 that stand in words; what a word may not hold becomes a space
-_CP1252 = bytes(b if (c := bytes([b]).decode("cp1252", "replace")) and _TOKEN.fullmatch(c) else 32 for b in range(256))
+def _ranges(signs: list[int]) -> str:
+    """Code points in order as ranges of a pattern's class."""
+    starts = [a for a, before in zip(signs, [-1, *signs]) if a != before + 1]
+    ends = [a for a, after in zip(signs, [*signs[1:], -1]) if after != a + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+# bytes of Latin-1 in lower case; what a word may not hold becomes a space; with \1 for signs of words outside it, and with exclamation marks
+_LATIN = bytes(ord(chr(b).lower()) if _TOKEN.fullmatch(chr(b)) else 32 for b in range(256))
+_MARKED = bytes(b if b in b"\1!" else x for b, x in enumerate(_LATIN))
+# signs outside Latin-1, and those of them that stand in words but for Chinese ones; beyond the first plane _TOKEN tells
+_WIDE_SIGNS = re.compile("([^\0-\xff一-鿿，。、；：（）“”]+)")
+_OUTSIDE = re.compile(f"[{_ranges([i for i in range(256, 1 << 16) if _TOKEN.fullmatch(chr(i))])}\U00010000-\U0010ffff]")
+_LONE = re.compile("!(?=[ !]|$)")
 _JOINT = re.compile(r"-(?<=[^\W\d_]-)(?=[^\W\d_])")
-_APART = {i: " " for i in range(128) if not chr(i).isalnum()}
 
 
 def _left_word(text: str, end: int) -> str:
@@ -134,16 +151,33 @@ def _left_word(text: str, end: int) -> str:
     return text[at:end]
 
 
-def words_of(low: str) -> list[str]:
-    """Words of a text in lower case: letters and digits, with exclamation marks that a misreading may have put in."""
-    if "!" not in low:
-        if low.isascii():
-            return low.translate(_APART).split()
-        try:
-            return low.encode("cp1252").translate(_CP1252).decode("cp1252").split()
-        except UnicodeEncodeError:
-            pass
-    return _TOKEN.findall(low)
+@lru_cache(maxsize=10_000)
+def _in_words(signs: str) -> str | None:
+    """Signs outside Latin-1 with spaces for those that no word holds; None where only the whole text tells their lower case."""
+    if not _OUTSIDE.search(signs):
+        return " "
+    return "".join(x if _OUTSIDE.match(x) else " " for x in signs) if max(signs) <= "\uffff" and signs == signs.lower() else None
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a text, in lower case: letters and digits, with exclamation marks that a misreading may have put in."""
+    wide, text = (), text.replace("\1", " ")
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        # signs outside Latin-1 are taken out, and put back once the rest is in lower case
+        parts = _WIDE_SIGNS.split(text)
+        wide = list(map(_in_words, parts[1::2]))
+        if None in wide:
+            return _TOKEN.findall(text.lower())
+        raw = "\1".join(parts[::2]).encode("latin-1", "replace")
+    flat = raw.translate(_LATIN if not wide and "!" not in text else _MARKED).decode("latin-1")
+    if wide:
+        parts[::2], parts[1::2] = flat.split("\1"), wide
+        flat = "".join(parts)
+    if "!" in flat:
+        flat = _LONE.sub(" ", flat)
+    return flat.split()
 
 
 def compounds(text: str) -> list[str]:
@@ -153,11 +187,16 @@ def compounds(text: str) -> list[str]:
 
 def han_windows(text: str) -> list[str]:
     """A marked triple for each glyph that has a twin; what is not Chinese counts as ^."""
-    if text.isascii() or not _TWIN.search(text):
-        return []
-    t = "^" + _HAN_GAP.sub("", text) + "^"
-    edge = lambda c: c if "一" <= c <= "鿿" else "^"
-    return [f"\0{edge(t[m.start() - 1])}{m.group()}{edge(t[m.start() + 1])}" for m in _TWIN.finditer(t)]
+    t = "^" + _NOT_HAN.sub("^", (_HAN_GAP if "\r" in text else _HAN_END).sub("", text)) + "^"
+    return ["\0" + t[i - 1 : i + 2] for i in [m.start() for m in _TWIN.finditer(t)]]
+
+
+def forms(text: str) -> tuple[str, list[str]]:
+    """(the plain text, its windows of Chinese glyphs)"""
+    if text.isascii() or not _WIDE.search(text):
+        return text, []
+    text = plain(text)
+    return text, han_windows(text) if _TWIN.search(text) else []
 
 
 @lru_cache(maxsize=100_000)
@@ -200,7 +239,7 @@ def learn_words(pages: DataFrame, text: str = "text") -> DataFrame:
         def add(tokens: list[str], marks: list[int], sizes: list[int]) -> None:
             """Only the words of this part are touched, so its cost does not grow with the words held."""
             nonlocal n, traced, vectors, signs, known, total
-            w = np.array(list(map(ids.__getitem__, tokens)), np.int64)
+            w = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
             while len(ids) > len(n):
                 n, traced = np.concatenate((n, n * 0)), np.concatenate((traced, traced * 0))
                 vectors, signs = np.concatenate((vectors, vectors * 0)), np.concatenate((signs, signs * 0))
@@ -208,8 +247,8 @@ def learn_words(pages: DataFrame, text: str = "text") -> DataFrame:
                 if i:
                     signs[i] = _signature(word)
             known = len(ids)
-            order = np.argsort(w, kind="stable")
-            sorted_w = w[order]
+            keys = np.sort(w << 32 | np.arange(len(w)))
+            order, sorted_w = keys & 0xFFFFFFFF, keys >> 32
             first = np.flatnonzero(np.r_[True, sorted_w[1:] != sorted_w[:-1]])
             here = sorted_w[first]
             n[here] += np.diff(np.r_[first, len(w)])
@@ -239,9 +278,9 @@ def learn_words(pages: DataFrame, text: str = "text") -> DataFrame:
                         kept.append(t[at:a])
                         at = b_ + len(right)
                     t = "\n".join((*kept, t[at:]))
-                t = plain(t)
-                here = words_of(t.lower())
-                windows = han_windows(t) + compounds(t)
+                t, windows = forms(t)
+                here = words_of(t)
+                windows = windows + compounds(t)
                 han.update(windows)
                 if trace:
                     han_traced.update(windows)
@@ -344,17 +383,20 @@ class Suspects:
     def __getitem__(self, word: str) -> bool:
         return all(self.bits[x >> 3] >> (x & 7) & 1 for x in _places(word, self.n)) or _figure(word)
 
-    def among(self, words: list[str]) -> set[str]:
-        if self.clean.issuperset(words):
-            return set()
-        odd = set(words) - self.clean
-        found = odd & self.known
-        for w in odd - found:
-            (found if self[w] else self.clean).add(w)
-        self.known |= found
-        if len(self.clean) + len(self.known) > REMEMBERED:
-            self.clean, self.known = set(), set()
-        return found
+    def among(self, words: list[str]) -> list[str]:
+        """Those of the words that may be linked, each as often as it stands there."""
+        odd = list(filterfalse(self.clean.__contains__, words))
+        if odd and not self.known.issuperset(odd):
+            for w in set(odd) - self.known:
+                (self.known if self[w] else self.clean).add(w)
+            odd = list(filter(self.known.__contains__, odd))
+            if len(self.clean) + len(self.known) > REMEMBERED:
+                self.clean, self.known = set(), set()
+        return odd
+
+
+def _form(letters: str) -> str:
+    return letters.lower() if letters.isascii() else canonical(letters).lower()
 
 
 def _figure(word: str) -> bool:
@@ -367,14 +409,11 @@ class Scan:
     def __init__(self, bits: np.ndarray, weights: dict[str, float], contexts: bool = True):
         self.suspects, self.weights, self.contexts = Suspects(bits), weights, contexts
 
-    def words(self, text: str) -> tuple[list[str], list[int], list[str]]:
-        """(words, places of the suspects among them, suspect windows of Chinese glyphs) of a text without broken words."""
-        flat = plain(text)
-        low = words_of(flat.lower())
-        some = self.suspects.among(low)
-        windows = han_windows(flat)
-        odd = self.suspects.among(windows) if windows else ()
-        return low, [i for i, x in enumerate(low) if x in some] if some else [], [w for w in windows if w in odd] if odd else []
+    def words(self, text: str) -> tuple[list[str], list[str], list[str]]:
+        """(words, the suspects among them, suspect windows of Chinese glyphs) of a text without broken words."""
+        flat, windows = forms(text)
+        low = words_of(flat)
+        return low, self.suspects.among(low), self.suspects.among(windows) if windows else windows
 
     def context(self, low: list[str], at: int) -> np.ndarray:
         near = low[max(0, at - 2) : at] + low[at + 1 : at + 3]
@@ -397,7 +436,7 @@ class Scan:
         for a, _, b, left, sign, right in breaks:
             kept.append(text[at:a])
             at = b + len(right)
-            pair = (canonical(left).lower(), canonical(right).lower())
+            pair = (_form(left), _form(right))
             whole = pair[0] + pair[1]
             if sign in "¬\xad":
                 sure = True
@@ -411,22 +450,25 @@ class Scan:
             for x in pair:
                 if self.suspects[x]:
                     suspect(x, pair, False)
-        low, places, windows = self.words("\n".join((*kept, text[at:])) if breaks else text)
-        for i in places:
-            s = suspect(low[i])
-            if self.contexts:
-                c = self.context(low, i)
-                s["context"] = c if s["context"] is None else s["context"] + c
-        for w in windows:
+        low, odd, windows = self.words("\n".join((*kept, text[at:])) if breaks else text)
+        for w in odd + windows:
             suspect(w)
+        if self.contexts and odd:
+            some = set(odd)
+            for i, w in enumerate(low):
+                if w in some:
+                    s, c = found[w, None, None], self.context(low, i)
+                    s["context"] = c if s["context"] is None else s["context"] + c
+            for s in found.values():
+                s["context"] = None if s["context"] is None else s["context"].tolist()
+        words = {key[0] for key in found}
         for end, field in zip(ends, ("n_first", "n_last")):
-            if end and found:
-                low, places, windows = self.words(end)
-                for w in [low[i] for i in places] + windows:
-                    if (w, None, None) in found:
-                        found[w, None, None][field] += 1
-        for s in found.values():
-            s["context"] = None if s["context"] is None else s["context"].tolist()
+            # words of an ASCII line stand in it as they are
+            if end and found and (not end.isascii() or any(map(end.lower().__contains__, words))):
+                for x in self.words(end)[1:]:
+                    for w in x:
+                        if (w, None, None) in found:
+                            found[w, None, None][field] += 1
         return list(found.values()), [{"left": x, "right": y, "upper": u} for (x, y), u in pairs], sure
 
 
@@ -439,7 +481,7 @@ class Mender:
     def whole(self, text: str) -> str:
         at, out = 0, []
         for _, end, start, left, sign, right in line_breaks(text):
-            hyphen = sign in "¬\xad" or self.is_broken.get((canonical(left).lower(), canonical(right).lower()), False)
+            hyphen = sign in "¬\xad" or self.is_broken.get((_form(left), _form(right)), False)
             out += text[at:end], "" if hyphen else "-"
             at = start
         return "".join((*out, text[at:])) if out else text
@@ -512,7 +554,7 @@ def line_signs(line: str, apart: bool, width: int) -> tuple | None:
     """(number, form, roman, inside, core, key) of a first or last line that can be furniture; key only if it is shaped like a header."""
     m = _NUMBERED.match(line)
     number = int(m.group(1)) if m else None
-    led, trailed = _LED.match(line), _TRAILED.search(line)
+    led, trailed = _LED.match(line), _TRAILED.search(line) if line[-1:].isdigit() else None
     inside = int(led.group(1)) if led else int(trailed.group(1)) if trailed else None
     roman = _ROMAN.match(line) is not None
     core = line[led.end() :] if led else line
@@ -548,21 +590,29 @@ def read_texts(df: DataFrame, text: str, words: DataFrame, links: DataFrame, bit
         if f.name != text:
             schema.add(f)
     names = list(schema.names)
+    at_text = df.columns.index(text)
     for name in ("first", "last"):
         schema.add(name, "string")
     schema.add("lines", "integer").add("width", "integer").add("first_apart", "boolean").add("last_apart", "boolean").add("repeats_first", "boolean")
     schema.add("suspects", T.ArrayType(_SUSPECT)).add("breaks", T.ArrayType(_BREAK)).add("sure", "boolean")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(kind: pa.DataType, lists: list[list[dict]]) -> pa.Array:
+        """A list of structs for each row, from columns of their fields."""
+        flat = list(chain.from_iterable(lists))
+        structs = pa.StructArray.from_arrays([pa.array([x[f.name] for x in flat], f.type) for f in kind.value_type], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), structs, type=kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scan(*held.value, contexts)
+        told = list(to_arrow_schema(T.StructType(schema.fields[len(names) :])))
         for b in batches:
             out = []
-            for t in b[text]:
+            for t in b.column(at_text).to_pylist():
                 if not t or not t.strip():
                     out.append((None, None, 0, 0, False, False, False, [], [], False))
                     continue
-                raw = [x.strip() for x in (t.replace("\r\n", "\n") if "\r" in t else t).split("\n")]
-                at = [i for i, x in enumerate(raw) if x]
+                raw = list(map(str.strip, (t.replace("\r\n", "\n") if "\r" in t else t).split("\n")))
+                at = [i for i, x in enumerate(raw) if x] if "" in raw else range(len(raw))
                 first, last = raw[at[0]], raw[at[-1]]
                 apart = len(at) > 1 and at[1] > at[0] + 1
                 apart_last = len(at) > 1 and at[-2] < at[-1] - 1
@@ -572,10 +622,10 @@ def read_texts(df: DataFrame, text: str, words: DataFrame, links: DataFrame, bit
                     first, last, len(at), max(map(len, raw)), apart, apart_last, len(at) > 1 and raw[at[1]].lower() == first.lower(),
                     suspects, breaks, sure,
                 ))
-            rest = pd.DataFrame(out, columns=schema.names[len(names) :], index=b.index)
-            yield pd.concat([b[names], rest], axis=1)
+            fields = [rows(f.type, x) if pa.types.is_list(f.type) else pa.array(x, f.type) for f, x in zip(told, zip(*out) if out else [()] * len(told))]
+            yield pa.RecordBatch.from_arrays([*(x for i, x in enumerate(b.columns) if i != at_text), *fields], names=schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def reader_parts(words: DataFrame, links: DataFrame) -> tuple[np.ndarray, dict[str, float]]:

@@ -341,3 +341,20 @@ def test_numbers_of_long_papers(spark, pages_before):
     for r in scan_defects(pages, blocks).collect():
         got.setdefault((r["src"], r["row_id"]), set()).add(r["defect"])
     assert got == {(src, i): {"header", "page_no"} if i % 6 < 3 else {"page_no"} for src in ("page", "block") for i in range(24)}
+
+
+def test_words_of_any_text_are_cut_without_the_pattern(monkeypatch):
+    """Greek letters, exclamation marks and Chinese text take no slow path, and every sign is cut as the pattern cuts it."""
+    from quillmill.llm import scans
+
+    texts = ["αβ Größe, β2-x ½α_y", "!ch b!n a!!b c! d\1!e", "样本量 n=5（α）较小。ŒUVRE", ""]
+    want = [scans._TOKEN.findall(x.lower().replace("\1", " ")) for x in texts]
+    odd = [f"A{chr(i)}b !{chr(i)}{chr(i)} {chr(i)}" for i in (*range(0xD800), *range(0xE000, 0x11000), 0x1D400, 0x1F600)]
+    assert [scans.words_of(x) for x in odd] == [scans._TOKEN.findall(x.lower()) for x in odd]
+    monkeypatch.setattr(scans, "_TOKEN", None)
+    assert [scans.words_of(x) for x in (*texts[:2], texts[2].lower())] == want[:3]
+
+
+def test_line_breaks_beside_blanks():
+    assert [x[:5] for x in line_breaks("ab-\ncd x¬ \t\r\n ef")] == [(0, 2, 4, "ab", "-"), (7, 8, 14, "x", "¬")]
+    assert [x[:5] for x in line_breaks("no \nab-\ncd 5-\nx\n-\ny")] == [(4, 6, 8, "ab", "-"), (14, 15, 18, "x", "-")]
