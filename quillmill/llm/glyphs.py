@@ -69,7 +69,8 @@ def _tables() -> tuple[re.Pattern, frozenset, re.Pattern]:
         if b != a + 1 or a == 0xFFFF:
             runs.append((start, a))
             start = None
-    every, plane = (re.compile("[" + "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in runs if b <= most) + r"\t\x0b\x0c]+") for most in (sys.maxunicode, 0xFFFF))
+    every, plane = ("".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in runs if b <= most) + r"\t\x0b\x0c" for most in (sys.maxunicode, 0xFFFF))
+    every, plane = re.compile(f"[{every}]+"), re.compile(f"[{plane}][{plane}]*")  # a class in front lets the search leap to the next
     return every, frozenset(kept), plane
 
 

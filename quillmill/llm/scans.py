@@ -73,7 +73,8 @@ _NUMBERISH = re.compile(r"^(?=.*\d)[\dlios]*[lios][\dlios]*$")
 _LATIN_IN_HAN = re.compile(r"(?<=[A-Za-z])\r?\n(?=[a-z])")
 _MOSTLY_HAN = re.compile(r"[一-鿿][^\n]{0,40}[一-鿿][^\n]{0,40}[一-鿿]")
 _HAN_GAP = re.compile(r"(?<=[一-鿿，。、；：（）])\r?\n(?=[一-鿿，。、；：（）])")
-_HAN_END = re.compile(r"\n(?<=[一-鿿，。、；：（）]\n)(?=[一-鿿，。、；：（）])")
+# the same for texts without \r
+_LATIN_END, _HAN_END = re.compile(r"\n(?<=[A-Za-z]\n)(?=[a-z])"), re.compile(r"\n(?<=[一-鿿，。、；：（）]\n)(?=[一-鿿，。、；：（）])")
 
 _FROM_MISREAD: dict[str, list[str]] = {}
 for _p in GLYPH_EDITS.split():
@@ -83,7 +84,7 @@ _TWINS: dict[str, set[str]] = {}
 for _p in HAN_PAIRS:
     _TWINS.setdefault(_p[0], set()).add(_p[1])
     _TWINS.setdefault(_p[1], set()).add(_p[0])
-_TWIN, _NOT_HAN = re.compile(f"[{''.join(_TWINS)}]"), re.compile("[^一-鿿]+")
+_TWIN, _NOT_HAN = re.compile(f"[{''.join(_TWINS)}]"), re.compile("[^一-鿿][^一-鿿]*")
 _MIS = sorted(_FROM_MISREAD, key=len, reverse=True)
 
 
@@ -106,7 +107,7 @@ def plain(text: str) -> str:
     if text.isascii() or not _WIDE.search(text):
         return text
     text = canonical(text) if _UNUSUAL.search(text) else text
-    return _LATIN_IN_HAN.sub("", text) if _MOSTLY_HAN.search(text) else text
+    return (_LATIN_IN_HAN if "\r" in text else _LATIN_END).sub("", text) if _MOSTLY_HAN.search(text) else text
 
 
 def glyph_sources(word: str) -> set[str]:
@@ -136,8 +137,8 @@ def _ranges(signs: list[int]) -> str:
 # bytes of Latin-1 in lower case; what a word may not hold becomes a space; with \1 for signs of words outside it, and with exclamation marks
 _LATIN = bytes(ord(chr(b).lower()) if _TOKEN.fullmatch(chr(b)) else 32 for b in range(256))
 _MARKED = bytes(b if b in b"\1!" else x for b, x in enumerate(_LATIN))
-# signs outside Latin-1, and those of them that stand in words but for Chinese ones; beyond the first plane _TOKEN tells
-_WIDE_SIGNS = re.compile("([^\0-\xff一-鿿，。、；：（）“”]+)")
+# runs of signs outside Latin-1 (a class in front lets the search leap to the next), and those of them that stand in words but for Chinese ones; beyond the first plane _TOKEN tells
+_WIDE_SIGNS = re.compile("([^\0-\xff一-鿿，。、；：（）“”][^\0-\xff一-鿿，。、；：（）“”]*)")
 _OUTSIDE = re.compile(f"[{_ranges([i for i in range(256, 1 << 16) if _TOKEN.fullmatch(chr(i))])}\U00010000-\U0010ffff]")
 _LONE = re.compile("!(?=[ !]|$)")
 _JOINT = re.compile(r"-(?<=[^\W\d_]-)(?=[^\W\d_])")
@@ -256,13 +257,14 @@ def learn_words(pages: DataFrame, text: str = "text") -> DataFrame:
             total += len(w)
             weight = np.minimum(1.0, np.sqrt(FREQUENT * total / n[here])).astype(np.float32)
             weight[here == 0] = 0
-            weights = np.empty(len(w), np.float32)
-            weights[order] = np.repeat(weight, np.diff(np.r_[first, len(w)]))
-            s = signs[w] * weights[:, None]
+            place = np.empty(len(w), np.int64)
+            place[order] = np.repeat(np.arange(len(here)), np.diff(np.r_[first, len(w)]))
+            s = (signs[here] * weight[:, None])[place]
             around = np.zeros_like(s)
-            for d in (1, 2):
-                around[d:] += s[:-d]
-                around[:-d] += s[d:]
+            around[1:] = s[:-1]
+            around[:-1] += s[1:]
+            around[2:] += s[:-2]
+            around[:-2] += s[2:]
             vectors[here] += np.add.reduceat(around[order], first, axis=0)
 
         tokens: list[str] = []
@@ -675,10 +677,14 @@ def judge_suspects(read: DataFrame, keys: list[str], broken: DataFrame, words: D
     # the parts of a broken word are read together or apart, as was decided
     cut_words = each.filter("joined IS NOT NULL").join(broken.groupBy("left", "right").agg(F.max("hyphen").alias("hyphen")), ["left", "right"]).filter("joined = hyphen").drop("hyphen")
     every = plain_.unionByName(cut_words.select(*plain_.columns)).select(*keys, "word", "n", "n_first", "n_last", "context")
-    linked = every.join(links.select(F.col("wrong").alias("word"), "choices"), "word", "left") if choose else every.join(links.select(F.col("wrong").alias("word"), F.lit(True).alias("choices")), "word", "left")
-    figure = linked.filter("choices IS NULL").join(words.select("word"), "word", "left_anti").filter(F.col("word").rlike(_NUMBERISH.pattern))
+    numberish = F.col("word").rlike(_NUMBERISH.pattern)
     if not choose:
-        return linked.filter("choices IS NOT NULL").drop("choices", "context").unionByName(figure.drop("choices", "context"))
+        # one look-up: linked words, and figures that are words of their own
+        wrong = links.select(F.col("wrong").alias("word"), F.lit(True).alias("linked"))
+        told = wrong.unionByName(words.filter(numberish).select("word").join(wrong, "word", "left_anti").withColumn("linked", F.lit(False)))
+        return every.drop("context").join(told, "word", "left").filter(F.coalesce("linked", numberish)).drop("linked")
+    linked = every.join(links.select(F.col("wrong").alias("word"), "choices"), "word", "left")
+    figure = linked.filter("choices IS NULL").join(words.select("word"), "word", "left_anti").filter(numberish)
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     near = lambda c: F.coalesce(dot(F.col("context"), c["vector"]) / F.sqrt(F.greatest(dot(c["vector"], c["vector"]), F.lit(1e-9))), F.lit(0.0))
     ranked = F.array_sort(F.transform("choices", lambda c: F.struct((-near(c)).alias("d"), c["order"].alias("order"), c["right"].alias("right"))))
@@ -782,13 +788,14 @@ def scan_defects(pages: DataFrame, blocks: DataFrame, titles: DataFrame | None =
     broken = cut(decide_breaks(each, words, links))
     put_in = each.join(broken.filter("hyphen"), ["left", "right", "upper"]).select("src", "id", F.lit(True).alias("hyphen"))
     keys = ["src", "id"]
-    counts = judge_suspects(both, keys, broken, words, links, choose=False).groupBy(*keys).agg(F.sum("n").alias("wrong"), F.sum("n_first").alias("wrong_first"), F.sum("n_last").alias("wrong_last"))
-    signs = counts.withColumn("hyphen", F.lit(False)).unionByName(put_in.select(*keys, *[F.lit(0).cast("long").alias(c) for c in ("wrong", "wrong_first", "wrong_last")], "hyphen"))
-    signs = signs.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("wrong", "wrong_first", "wrong_last")], F.max("hyphen").alias("hyphen"))
-    lean = both.drop("suspects", "breaks").join(signs, keys, "left").fillna(0, ["wrong", "wrong_first", "wrong_last"])
-    lean = cut(lean.withColumn("hyphen", F.coalesce("hyphen", F.lit(False)) | F.col("sure")))
+    told = {"n": "wrong", "n_first": "wrong_first", "n_last": "wrong_last"}
+    signs = judge_suspects(both, keys, broken, words, links, choose=False).select(*keys, *told, F.lit(False).alias("hyphen"))
+    signs = signs.unionByName(put_in.select(*keys, *[F.lit(0).alias(c) for c in told], "hyphen"))
+    signs = cut(signs.groupBy(*keys).agg(*[F.sum(c).alias(to) for c, to in told.items()], F.max("hyphen").alias("hyphen")))
+    ends = both.drop("suspects", "breaks")
+    found = cut(page_furniture(ends.filter("src = 'page'"), titles))
+    lean = ends.join(signs, keys, "left").fillna(0, list(told.values())).withColumn("hyphen", F.coalesce("hyphen", F.lit(False)) | F.col("sure"))
     read, cuts = lean.filter("src = 'page'").drop("src"), lean.filter("src = 'block'").drop("src", "paper_id", "page_number")
-    found = cut(page_furniture(read, titles))
 
     def rows(df: DataFrame, src: str, first_ok: Column, last_ok: Column) -> DataFrame:
         one = F.col("lines") == 1

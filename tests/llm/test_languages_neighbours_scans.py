@@ -358,3 +358,12 @@ def test_words_of_any_text_are_cut_without_the_pattern(monkeypatch):
 def test_line_breaks_beside_blanks():
     assert [x[:5] for x in line_breaks("ab-\ncd x¬ \t\r\n ef")] == [(0, 2, 4, "ab", "-"), (7, 8, 14, "x", "¬")]
     assert [x[:5] for x in line_breaks("no \nab-\ncd 5-\nx\n-\ny")] == [(4, 6, 8, "ab", "-"), (14, 15, 18, "x", "-")]
+
+
+def test_figures_that_no_page_holds(spark):
+    """A figure with a letter inside is misread though only a block holds it; one that is a word of its own is not."""
+    pages, _ = _pages(spark)
+    pages = pages.withColumn("text", F.when(F.col("id") % 3 == 1, F.concat("text", F.lit(" 10s"))).otherwise(F.col("text")))
+    blocks = spark.createDataFrame([(1, 1, 0, "the sample l0o was small"), (2, 1, 1, "the sample 10s was small")], "id long, page_id long, block_index int, text string")
+    found = {(r["src"], r["row_id"]) for r in scan_defects(pages, blocks).filter("defect = 'misread'").collect()}
+    assert ("block", 1) in found and ("block", 2) not in found and not any(src == "page" and i % 3 == 1 for src, i in found)
