@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,29 +34,104 @@ def gold_matches(gold: DataFrame, chunks: DataFrame, gram: int = GRAM) -> DataFr
     """gold_id, chunk_id: chunks of the same paper that hold the snippet.
 
     `gold` has gold_id, paper_id, snippet; `chunks` has chunk_id, paper_id, text. A snippet is held if its form shares a run of `gram`
-    signs with the chunk's (shorter ones: is contained), or its words stand in the chunk in sequence. Joined on runs and on
-    the first three words, so no pair without a common run is ever made; blank snippets match nothing.
+    signs with the chunk's (shorter ones: is contained), or its words stand in the chunk in sequence; blank snippets match nothing.
     """
     g = gold.select("gold_id", "paper_id", match_form("snippet").alias("f"), snippet_words(F.col("snippet")).alias("w"))
     c = chunks.select("chunk_id", "paper_id", match_form("text").alias("f"), snippet_words(F.col("text")).alias("w"))
-    by_gram = g.select("gold_id", "paper_id", F.explode(grams(F.col("f"), gram)).alias("r")).join(c.select("chunk_id", "paper_id", F.explode(grams(F.col("f"), gram)).alias("r")), ["paper_id", "r"])
-    # shorter forms meet on runs of their own length
-    small = g.filter((F.length("f") > 0) & (F.length("f") < gram)).select("gold_id", "paper_id", F.col("f").alias("r"))
-    sizes = small.select("paper_id", F.length("r").alias("n")).distinct()
-    by_part = small.join(c.join(sizes, "paper_id").select("chunk_id", "paper_id", F.explode(_runs(F.col("f"), F.col("n"))).alias("r")), ["paper_id", "r"])
-    worded = g.filter("w IS NOT NULL").select("gold_id", "paper_id", F.col("w").alias("gw"), _triples(F.col("w"))[0].alias("r"))
-    by_words = worded.join(c.filter("w IS NOT NULL").select("chunk_id", "paper_id", "w", F.explode(F.array_distinct(_triples(F.col("w")))).alias("r")), ["paper_id", "r"]).filter(F.contains("w", "gw"))
-    return by_gram.select("gold_id", "chunk_id").unionByName(by_part.select("gold_id", "chunk_id")).unionByName(by_words.select("gold_id", "chunk_id")).distinct()
+    return _holders(g, c, ["chunk_id"], gram).distinct()
 
 
-def _runs(form: Column, n: Column) -> Column:
-    return F.when(F.length(form) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(form) - n + 1), lambda i: F.substring(form, i, n)))).otherwise(F.array().cast("array<string>"))
+#: Snippets and texts of a paper that meet in one group; longer papers make more groups. Hits sent on at once.
+SNIPPET_PART, TEXT_PART, HITS = 2048, 2048, 65536
 
 
-def _triples(words: Column) -> Column:
-    """Runs of three words of a fenced word list."""
-    w = F.split(F.trim(words), " ")
-    return F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))
+def _holders(gold: DataFrame, texts: DataFrame, keep: list[str], gram: int) -> DataFrame:
+    """gold_id and the columns `keep` of the texts that hold each snippet.
+
+    `gold` has gold_id, paper_id, f, w; `texts` has paper_id, f, w and `keep`: forms and fenced words. Both move once, as they are: sorted by paper, the
+    snippets of a group come first and its texts stream past them, so runs of signs never leave the task.
+    """
+    kind = texts.schema["paper_id"].dataType
+    gold = gold.withColumn("paper_id", F.col("paper_id").cast(kind))
+    parts = lambda df, n, name: df.groupBy("paper_id").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    sizes = parts(gold, SNIPPET_PART, "_a").join(parts(texts, TEXT_PART, "_b"), "paper_id")
+    one = lambda key, n: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    row = F.struct(*keep)
+    empty = F.lit(None).cast(texts.select(row.alias("x")).schema["x"].dataType)
+    g = gold.join(sizes, "paper_id").select("paper_id", one(["gold_id"], "_a").alias("_s"), every("_b").alias("_t"), F.lit(0).alias("_side"), "gold_id", empty.alias("_row"), "f", "w")
+    t = texts.join(sizes, "paper_id").select("paper_id", every("_a").alias("_s"), one(keep, "_b").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(gold.schema["gold_id"].dataType).alias("gold_id"), row.alias("_row"), "f", "w")
+    key = ["paper_id", "_s", "_t"]
+    met = g.unionByName(t).repartition(*key).sortWithinPartitions(*key, "_side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, _Snippets(gram)
+        for b in batches:
+            rows, ids, found, at = b.column("_row"), b.column("gold_id"), [], []
+            send = lambda: pa.RecordBatch.from_arrays([pa.array(found, ids.type), rows.take(pa.array(at, pa.int64()))], names=["gold_id", "_row"])  # noqa: B023, E731
+            columns = [b.column(x).to_pylist() for x in (*key, "_side", "gold_id", "f", "w")]
+            for i, (p, s, n, side, gold_id, f, w) in enumerate(zip(*columns)):
+                if (p, s, n) != group:
+                    group, held = (p, s, n), _Snippets(gram)
+                if side == 0:
+                    held.add(gold_id, f, w)
+                elif mine := held.of(f, w):
+                    found += mine
+                    at += [i] * len(mine)
+                    if len(at) >= HITS:
+                        yield send()
+                        found, at = [], []
+            yield send()
+
+    out = met.mapInArrow(run, met.select("gold_id", "_row").schema)
+    return out.select("gold_id", *[F.col("_row")[x].alias(x) for x in keep])
+
+
+class _Snippets:
+    """Snippets by their runs of signs and by their words; tells which of them a text holds."""
+
+    #: More texts than this are looked up by their runs, fewer one by one.
+    FEW = 16
+
+    def __init__(self, gram: int):
+        self.gram = gram
+        self.ids: dict[str, set] = {}  # of each form and of each fenced word list, which no form equals
+        self.runs: dict[str, list[str]] = {}
+        self.short: dict[int, set[str]] = {}
+        self.words: dict[str, set[str]] = {}  # by their first three
+
+    def add(self, gold_id, f: str | None, w: str | None) -> None:
+        for x in (f, w):
+            if x:
+                self.ids.setdefault(x, set()).add(gold_id)
+        if f and len(self.ids[f]) == 1:
+            if len(f) < self.gram:
+                self.short.setdefault(len(f), set()).add(f)
+            else:
+                for r in _runs(f, self.gram):
+                    self.runs.setdefault(r, []).append(f)
+        if w:
+            self.words.setdefault(" ".join(w.split(" ", 4)[:4]), set()).add(w)
+
+    def of(self, f: str | None, w: str | None) -> list:
+        hits: set[str] = set()
+        if f and self.runs:
+            for r in self.runs.keys() & _runs(f, self.gram):
+                hits.update(self.runs[r])
+        if f:
+            for n, forms in self.short.items():
+                hits.update(forms & _runs(f, n) if len(forms) > self.FEW else (x for x in forms if x in f))
+        if w and self.words:
+            starts = self.words.keys()
+            if len(starts) > self.FEW:
+                ws = w.split(" ")
+                starts = starts & {" " + " ".join(ws[i : i + 3]) for i in range(1, len(ws) - 3)}
+            hits.update(x for s in starts for x in self.words[s] if x in w)
+        return list(set().union(*[self.ids[x] for x in hits]))
+
+
+def _runs(form: str, n: int) -> set[str]:
+    return {form[i : i + n] for i in range(len(form) - n + 1)}
 
 
 #: Sizes of the runs of chunks that may hold a snippet together, and chunks one task compares.
@@ -99,7 +176,7 @@ def resolve_gold(gold: DataFrame, chunks: DataFrame) -> DataFrame:
     runs = _chunk_windows(formed, GRAM - 1, max(words - 1, 1))
     asked = left.filter(F.length("form") > 0).select("gold_id", "paper_id", F.explode(F.when(F.length("form") < GRAM, F.array("form")).otherwise(grams(F.col("form")))).alias("r"))
     wanted = asked.groupBy("paper_id").agg(F.collect_set(F.length("r")).alias("sizes"))
-    parts = runs.join(wanted, "paper_id").select("paper_id", "size", "position", "ids", F.explode(F.array_distinct(F.flatten(F.transform("sizes", lambda n: _runs(F.col("f"), n))))).alias("r"))
+    parts = runs.join(wanted, "paper_id").select("paper_id", "size", "position", "ids", F.explode(F.array_distinct(F.flatten(F.transform("sizes", lambda n: _form_runs(F.col("f"), n))))).alias("r"))
     crossing = asked.join(parts, ["paper_id", "r"]).select("gold_id", "size", "position", "ids")
     worded = left.filter("gw IS NOT NULL").select("gold_id", "paper_id", "gw", _triples(F.col("gw"))[0].alias("r"))
     fenced = runs.select("paper_id", "size", "position", "ids", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w")).filter(F.size(F.split("w", " ")) >= 5)
@@ -110,6 +187,16 @@ def resolve_gold(gold: DataFrame, chunks: DataFrame) -> DataFrame:
     return single.unionByName(window).unionByName(_closest_runs(rest, formed))
 
 
+def _form_runs(form: Column, n: Column) -> Column:
+    return F.when(F.length(form) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(form) - n + 1), lambda i: F.substring(form, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def _triples(words: Column) -> Column:
+    """Runs of three words of a fenced word list."""
+    w = F.split(F.trim(words), " ")
+    return F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))
+
+
 def _all_words(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z]+|[-+]?[0-9]+(?:\.[0-9]+)?)"), 1), " ")
 
