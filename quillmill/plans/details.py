@@ -23,8 +23,7 @@ def exact_term_hits(s: SparkSession, d: str) -> DataFrame:
     """The twenty child chunks of each question that hold most of its exact terms, anywhere in their text."""
     q = R(s, d, "sample_questions").select("q_id", F.lit("default").alias("variant"), "question").distinct()
     c = catalog.children(R(s, d, "paper_chunks")).select("id", "content").distinct()
-    hits = retrieval.term_scores(c, q.select("q_id", "variant", X.exact_terms(F.col("question")).alias("terms")))
-    best = catalog.latest_by(hits, ["q_id"], [F.round("bonus", 9).desc(), F.col("chunk_id").asc()], 20)
+    best = retrieval.best_by_terms(c, q.select("q_id", "variant", X.exact_terms(F.col("question")).alias("terms")), 20)
     return best.select("q_id", "chunk_id", F.round("bonus", 4).alias("score"), "rank")
 
 
